@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvflow.llm import mixing, percentiles, terms, tokens, truncation
+from kvflow.llm import mixing, neardup, pages, percentiles, terms, tokens, truncation
 from kvflow.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query()
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.duplicate_pairs(table(spark, d, "crawl_records"))
+
+
+@query()
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.class_links(table(spark, d, "crawl_records"))
+
+
 _PERCENTILES = """
     WITH once AS (
         SELECT DISTINCT row_id, lower(trim(type)) AS type, strftime(DATE '1970-01-01' + (epoch_us(snapshot_at) // 86400000000)::INT, '%Y-%m-%d') AS day,
@@ -74,6 +84,11 @@ def p4_terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.marked(terms.term_counts(table(spark, d, "key_values"))).drop("n_all")
 
 
+@query()
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pages.main_pieces(table(spark, d, "crawl_records"))
+
+
 @query()
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
