@@ -45,8 +45,11 @@ SIDE = frozenset("h4 h5 h6 button select".split())
 HIDDEN = frozenset("script style title noscript textarea iframe comment".split())
 SCOPES = frozenset("td th table div article main aside nav section body".split())
 LIST_ITEMS = frozenset("li td th dt dd".split())
-NEVER_TEMPLATE = LIST_ITEMS | frozenset("h1 h2 h3".split())
 CRUMBS = re.compile(r"»|›|&raquo;|&rsaquo;")
+ENDS = frozenset(".!?。！？…")
+QUOTES = frozenset("\"'”’»)")
+HEADINGS = frozenset("h1 h2 h3".split())
+NEVER_TEMPLATE = LIST_ITEMS | HEADINGS
 SENTENCE = re.compile(r"""[.!?。！？…]["'”’»)]*$""")
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|width|colspan)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -56,13 +59,18 @@ WORDS = re.compile(r"[㐀-鿿]|\w+")
 SHORT_WORDS = 30
 #: A block of so many words is running text.
 RUNNING_WORDS = 6
+#: A box with a button is a notice up to so many words.
+NOTICE_WORDS = 80
 #: A text is template if it stands on pages of so many different contents of its site, and on this share of them ...
 TEMPLATE_PAGES = 4
 TEMPLATE_SHARE = 0.01
 #: ... or on pages of so many sites, with TEMPLATE_PAGES contents on each on average.
 TEMPLATE_SITES = 6
-#: A kind of block is template if this share of its short texts is.
+#: A kind of block is template if this share of its blocks has template texts and it runs to few words on average, ...
 TEMPLATE_BLOCKS = 0.5
+TEMPLATE_WORDS = 12
+#: ... or if this share has, whatever its length.
+TEMPLATE_NEARLY_ALL = 0.9
 #: Streams of this share of a site's blocks are its usual ones; a slot with this share of the fullest one's running text is body.
 USUAL_SHARE = 0.02
 BODY_SHARE = 0.25
@@ -106,10 +114,13 @@ def _tag(tag: str) -> tuple[str, str, str]:
 
 
 class Block:
-    __slots__ = ("hidden", "key", "mark", "path", "pieces", "running", "text", "words")
+    __slots__ = ("breaks", "chain", "ended", "hidden", "key", "linked", "mark", "parts", "path", "pieces", "running", "shown", "spanned", "tail", "text", "words")
 
-    def __init__(self, path: str):
-        self.path, self.pieces, self.text = path, [], []
+    def __init__(self, path: str, tail: str, chain: tuple[int, ...]):
+        self.path, self.tail, self.chain = path, tail, chain
+        self.pieces: list[int] = []
+        self.parts: list[str] = []
+        self.words = self.linked = self.spanned = self.shown = self.ended = self.breaks = 0
 
 
 def pieces(html: str) -> list[str]:
@@ -118,87 +129,118 @@ def pieces(html: str) -> list[str]:
     return [t for t in cut if t]
 
 
+def _count(text: str) -> int:
+    """Words of a piece; Han characters count as words, signs alone do not."""
+    if text.isascii():
+        return len(text.split()) if len(text) > 3 or any(map(str.isalnum, text)) else 0
+    return len(WORDS.findall(text))
+
+
 def blocks(html: str) -> list[Block]:
     """The blocks of a page in order; every piece belongs to exactly one."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
-    path = ""
+    #: Name, path and number of each open block element.
+    stack: list[tuple[str, str, int]] = []
     current: Block | None = None
     raw = ""
     comment = False
-    links = spans = 0
-    lines: list[tuple[int, int, bool]] = []
-    number = 0
+    links = spans = number = serial = 0
+    tags = _tags
     parts = CUT.split(html)
-    for i, part in enumerate(parts):
-        if i % 2 == 0:
-            text = BLANKS.sub(" ", part).strip(" ") if part else ""
-            if not text:
-                continue
+    parts.append("")
+    for at in range(0, len(parts), 2):
+        text = parts[at].strip("\t\n\f\r ")
+        if text:
+            if "\n" in text or "  " in text or "\t" in text or "\r" in text or "\f" in text:
+                text = BLANKS.sub(" ", text)
             if comment:
-                hidden = Block("comment")
-                hidden.pieces.append(number)
-                hidden.text.append((text, 0, 0, 0))
-                out.append(hidden)
-                current = None
+                current = Block("comment", "comment", ())
+                out.append(current)
                 comment = "-->" not in text
-            else:
-                if current is None:
-                    current = Block(path)
-                    out.append(current)
-                current.pieces.append(number)
-                current.text.append((text, links, spans, len(lines)))
+            elif current is None:
+                name, path, _ = stack[-1] if stack else ("", "", 0)
+                current = Block(path, name, tuple([e[2] for e in stack]))
+                out.append(current)
+            current.pieces.append(number)
+            current.parts.append(text)
             number += 1
+            n = _count(text)
+            if n:
+                current.words += n
+                current.shown += 1
+                if links:
+                    current.linked += n
+                if spans:
+                    current.spanned += n
+                if text[-1] in ENDS or text[-1] in QUOTES and SENTENCE.search(text):
+                    current.ended += 1
+            if current.tail == "comment":
+                current = None
+        tag = parts[at + 1]
+        if not tag:
             continue
         if comment:
-            comment = not part.endswith("-->")
+            comment = not tag.endswith("-->")
             continue
-        if part.startswith("<!--"):
-            comment = not part.endswith("-->")
+        if tag.startswith("<!--"):
+            comment = not tag.endswith("-->")
             continue
-        what, name, key = _tag(part)
+        what, name, key = tags.get(tag) or _tag(tag)
         if raw:
-            if what == "close" and name == raw:
-                raw = ""
-            else:
+            if what != "close" or name != raw:
                 continue
+            raw = ""
         if what == "void":
             if name == "br" and current is not None:
-                current.text.append(("", 0, 0, 0))
+                current.breaks += 1
         elif what == "inline":
             links += name == "a"
             spans += key == "s"
         elif what == "end":
             if name == "a":
                 links = 0
-            elif name == "span":
-                spans = max(0, spans - 1)
+            elif name == "span" and spans:
+                spans -= 1
         elif what == "open":
             current = None
             links = spans = 0
-            if name in CLOSES_P:
-                _close(stack, ("p",), SCOPES)
-            if name in LIST_ITEMS:
-                _close(stack, ("td", "th") if name in ("td", "th") else (name,), ("table",) if name in ("td", "th") else ("ul", "ol", "dl"))
-            elif name == "tr":
-                _close(stack, ("tr",), ("table",))
-            elif name == "body":
-                stack.clear()
-            stack.append((name, key))
+            if stack:
+                if name in CLOSES_P:
+                    _close(stack, ("p",), SCOPES)
+                if name in LIST_ITEMS:
+                    _close(stack, ("td", "th") if name in ("td", "th") else (name,), ("table",) if name in ("td", "th") else ("ul", "ol", "dl"))
+                elif name == "tr":
+                    _close(stack, ("tr",), ("table",))
+                elif name == "body":
+                    stack.clear()
             if name in RAW:
                 raw = name
-            path = ">".join(k for n, k in stack if n not in ("html", "body"))
+            above = stack[-1][1] if stack else ""
+            serial += 1
+            stack.append((name, above if name in ("html", "body") else f"{above}>{key}" if above else key, serial))
         elif what == "close":
             current = None
             links = spans = 0
             _close(stack, (name,), ("table", "body") if name not in ("table", "body", "html") else ())
-            path = ">".join(k for n, k in stack if n not in ("html", "body"))
     for block in out:
         _shape(block)
+    _notices(out)
     return out
 
 
-def _close(stack: list[tuple[str, str]], names: tuple[str, ...], within: tuple[str, ...] | frozenset[str]) -> None:
+def _notices(page: list[Block]) -> None:
+    """A small box with a button and no heading is a notice as a whole."""
+    for button in page:
+        if button.tail != "button" or len(button.chain) < 2 or button.path.count(">") < 1:
+            continue
+        box = button.chain[-2]
+        inside = [b for b in page if box in b.chain]
+        if sum(b.words for b in inside) <= NOTICE_WORDS and not any(b.tail in HEADINGS for b in inside):
+            for block in inside:
+                block.mark, block.running = button.mark, False
+
+
+def _close(stack: list[tuple[str, str, int]], names: tuple[str, ...], within: tuple[str, ...] | frozenset[str]) -> None:
     """Closes the innermost of the named elements, if it is open within the nearest of the enclosing ones."""
     for at in range(len(stack) - 1, -1, -1):
         name = stack[at][0]
@@ -210,33 +252,17 @@ def _close(stack: list[tuple[str, str]], names: tuple[str, ...], within: tuple[s
 
 
 def _shape(block: Block) -> None:
-    total = linked = spanned = ended = shown = 0
-    breaks = 0
-    texts = []
-    for text, in_link, in_span, _ in block.text:
-        if not text:
-            breaks += 1
-            continue
-        n = len(WORDS.findall(text))
-        texts.append(text)
-        total += n
-        shown += n > 0
-        linked += n if in_link else 0
-        spanned += n if in_span else 0
-        ended += bool(SENTENCE.search(text))
-    joined = " ".join(texts)
+    """What shows at a block alone: whether it is running text, or a list, a path or a heading of a box."""
+    block.text = text = block.parts[0] if len(block.parts) == 1 else " ".join(block.parts)
+    total, tail = block.words, block.tail
     kind = ""
-    if total == 0 or linked == total:
+    if block.linked == total:
         kind = "~a"
-    elif CRUMBS.search(joined) and not ended:
-        kind = "~c"
-    elif not ended and (spanned == total or shown > 1 and breaks >= shown - 1):
-        kind = "~l"
-    block.words = total
-    block.text = joined
-    tail = _element(block.path.rpartition(">")[2])
-    block.words = total
-    block.text = joined
+    elif not block.ended:
+        if block.spanned == total or block.shown > 1 and block.breaks >= block.shown - 1:
+            kind = "~l"
+        if CRUMBS.search(text):
+            kind = "~c"
     block.key = block.path + kind
     block.hidden = tail in HIDDEN
     block.mark = _landmark(block.path, tail, kind) if kind or tail in SIDE else ""
@@ -314,7 +340,7 @@ def _first_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _may_repeat(block: Block) -> bool:
     """Whether a block is too long to be template, or an item or heading, which recur in bodies too."""
-    return block.words > SHORT_WORDS or _element(block.path.rpartition(">")[2]) in NEVER_TEMPLATE
+    return block.words > SHORT_WORDS or block.tail in NEVER_TEMPLATE
 
 
 def align(wrapper: list[str], marks: tuple[str, ...]) -> list[tuple[int, int]]:
@@ -409,8 +435,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
     )
     judged = judged.withColumn("template", often)
     fixed = judged.where("template").select("site", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("marks"), F.lit(0).alias("slot"), "key", F.col("text").alias("a"), F.lit(0).cast("bigint").alias("b"))
-    keys = judged.groupBy("site", "key").agg(F.sum("n").alias("a"), F.sum(F.when(F.col("template"), F.col("n")).otherwise(0)).alias("b"))
-    keys = keys.where(F.col("b") >= TEMPLATE_BLOCKS * F.col("a")).select("site", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("marks"), F.lit(0).alias("slot"), "key", "a", "b")
+    fixed_n = judged.where("template").groupBy("site", "key").agg(F.sum("n").alias("fixed_n"))
+    keys = streams.groupBy("site", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).join(fixed_n, ["site", "key"])
+    some = (F.col("fixed_n") >= TEMPLATE_BLOCKS * F.col("a")) & (F.col("b") < TEMPLATE_WORDS * F.col("a"))
+    keys = keys.where(some | (F.col("fixed_n") >= TEMPLATE_NEARLY_ALL * F.col("a")))
+    keys = keys.select("site", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("marks"), F.lit(0).alias("slot"), "key", "a", "b")
     rows = streams.select("site", F.lit(0).alias("kind"), "marks", "slot", "key", "a", "b").union(keys)
 
     def judge(group: pd.DataFrame) -> pd.DataFrame:
