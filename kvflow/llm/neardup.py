@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvflow.llm.pages import Block, crawl_pages, with_bodies, wrappers
-from kvflow.session import materialise
+from kvflow.session import bounded, materialise
 
 #: Words in a run, and the similarity from which two records are near-duplicates, as this project's data states them.
 RUN_WORDS = 3
@@ -29,6 +29,8 @@ SIMILAR = 0.5
 BINS = 256
 BAND_ROWS = 4
 SEED = 7
+#: Classes with candidates up to which their ids, 8 bytes each, are broadcast; more are joined by shuffle.
+INVOLVED_ROWS = 1_000_000
 WORD = re.compile(r"[^\W_]+")
 _codes: dict[str, int] = {}
 
@@ -115,29 +117,63 @@ def run_sets(records: DataFrame) -> DataFrame:
     return with_bodies(pages, models, make, "id bigint, cls bigint, runs array<int>", build)
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (bucket, cls) sorted by both: the edges (hub, member), and the hubs of the first and the last bucket with these."""
+    seen: tuple[int, int] | None = None
+    first = True
+    for batch in batches:
+        bucket, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(bucket):
+            continue
+        starts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1])
+        # The hub has the least id turned by the bucket, so that another member is hub in another bucket.
+        turn = _mix(bucket[starts].view(np.uint64)).view(np.int64)
+        sizes = np.diff(np.append(starts, len(bucket)))
+        hubs = np.minimum.reduceat(cls ^ np.repeat(turn, sizes), starts) ^ turn
+        if seen and seen[0] == bucket[0]:
+            hubs[0] = seen[1]
+        hub = np.repeat(hubs, sizes)
+        linked = hub != cls
+        pairs = np.unique(np.stack([np.minimum(hub, cls)[linked], np.maximum(hub, cls)[linked]]), axis=1)
+        yield _edges(pairs[0], pairs[1], np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if first:
+            yield _edges(pairs[0][:0], pairs[1][:0], bucket[:1], hubs[:1])
+        seen, first = (int(bucket[-1]), int(hubs[-1])), False
+    if seen:
+        yield _edges(np.zeros(0, np.int64), np.zeros(0, np.int64), np.array([seen[0]]), np.array([seen[1]]))
+
+
+def _edges(a: np.ndarray, b: np.ndarray, bucket: np.ndarray, hub: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls
+    columns = [pa.array(np.concatenate([a, hub])), pa.concat_arrays([pa.array(b, pa.int64()), none(len(hub), pa.int64())]), pa.concat_arrays([none(len(a), pa.int64()), pa.array(bucket, pa.int64())])]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "bucket"])
+
+
 def candidates(sets: DataFrame) -> DataFrame:
-    """(a, b) with a < b: in each bucket of the sets (cls, runs) the edges from every member to the bucket's hub."""
+    """(a, b) with a < b: in each bucket of the sets (cls, runs) the edges from every member to a hub.
+
+    Members are range-partitioned by bucket and class, so a bucket that holds a large part of all sets is spread over many
+    tasks; each gives it a hub of its own, and these hubs are linked with each other.
+    """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
             runs = lists.values.to_numpy(zero_copy_only=False).view(np.uint32)
             offsets = lists.offsets.to_numpy()
-            for at in range(0, batch.num_rows, 2_000):
-                end = min(at + 2_000, batch.num_rows)
-                keys = band_keys(sketches([runs[offsets[i] : offsets[i + 1]] for i in range(at, end)]))
-                bands = keys.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel()), pa.array(np.tile(np.arange(bands, dtype=np.int32), end - at)), pa.array(np.repeat(batch.column(0).to_numpy()[at:end], bands))], names=["bucket", "band", "cls"]
-                )
-
-    members = materialise(sets.select("cls", "runs").mapInArrow(keyed, "bucket bigint, band int, cls bigint"), "buckets")
-    # The hub has the least id, turned by the band so that another member is hub in another band; min() combines before the shuffle.
-    turned = F.col("cls").bitwiseXOR(F.xxhash64("band"))
-    hubs = members.groupBy("bucket", "band").agg(F.min(turned).alias("turned"), F.count("*").alias("n")).where("n > 1")
-    hubs = hubs.select("bucket", "band", F.col("turned").bitwiseXOR(F.xxhash64("band")).alias("hub"))
-    edges = members.join(hubs, ["bucket", "band"]).where("cls <> hub")
-    return edges.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+            classes, rows = np.unique(batch.column(0).to_numpy(), return_index=True)
+            for at in range(0, len(classes), 2_000):
+                part = rows[at : at + 2_000]
+                keys = band_keys(sketches([runs[offsets[i] : offsets[i + 1]] for i in part]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(classes[at : at + 2_000], keys.shape[1]))], names=["bucket", "cls"])
+
+    members = sets.select("cls", "runs").mapInArrow(keyed, "bucket bigint, cls bigint")
+    ranged = members.repartitionByRange("bucket", "cls").sortWithinPartitions("bucket", "cls")
+    stars = materialise(ranged.mapInArrow(_stars, "a bigint, b bigint, bucket bigint"), "stars")
+    # Two rows a partition.
+    ends = stars.where("b IS NULL").select("bucket", F.col("a").alias("hub")).distinct()
+    across = ends.join(ends.groupBy("bucket").agg(F.min("hub").alias("least")), "bucket").where("hub <> least").select(F.col("least").alias("a"), F.col("hub").alias("b"))
+    return stars.where("b IS NOT NULL").select("a", "b").union(across).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -174,19 +210,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def similar_classes(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(a, b) with a < b: all pairs of similar representatives (cls, runs) in what the verified candidates connect."""
-    links = verified(candidates(sets), sets, similar)
+    """(a, b) with a < b: all pairs of similar classes in what the verified candidates of the sets (cls, runs) connect."""
+    edges = materialise(candidates(sets), "candidates")
+    # From here on only classes with a candidate matter, one set of each.
+    involved = bounded(edges.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), INVOLVED_ROWS)
+    unique = materialise(sets.select("cls", "runs").join(involved, "cls", "left_semi").dropDuplicates(["cls"]), "classes")
+    links = verified(edges, unique, similar)
     nodes = materialise(components(links), "components")
     others = nodes.select(F.col("node").alias("b"), "root")
     pairs = nodes.select(F.col("node").alias("a"), "root").join(others, "root").where("a < b").select("a", "b")
-    return verified(pairs, sets, similar)
+    return verified(pairs, unique, similar)
 
 
 def near_duplicates(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((id, cls) of every record with a main text, (a, b) of similar classes)."""
     sets = materialise(run_sets(records), "runs")
-    unique = materialise(sets.select("cls", "runs").dropDuplicates(["cls"]), "classes")
-    return sets.select("id", "cls"), materialise(similar_classes(unique), "similar")
+    return sets.select("id", "cls"), materialise(similar_classes(sets), "similar")
 
 
 def duplicate_pairs(records: DataFrame) -> DataFrame:
