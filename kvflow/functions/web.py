@@ -14,6 +14,7 @@ CRAWL_RECORD = T.StructType([T.StructField(name, T.StringType()) for name in ("u
 AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
 BAD_PORT = r":[^:\]]*[^0-9:\]][^:\]]*$"
+BAD_HOST = r"[\x00- \x7f^`{}|\\]"
 
 
 def extract_domain(url: Column) -> Column:
@@ -22,7 +23,7 @@ def extract_domain(url: Column) -> Column:
     Null, control characters, malformed escapes and ports that are no numbers give ''.
     """
     host = F.regexp_replace(F.regexp_extract(url, AUTHORITY, 1), "^.*@", "")
-    broken = url.rlike(r"[\x00-\x1f\x7f]") | host.rlike(BAD_ESCAPE) | host.rlike(BAD_PORT) | host.rlike(r"[ <>\"]")
+    broken = url.rlike(r"[\x00-\x1f\x7f]") | host.rlike(BAD_ESCAPE) | host.rlike(BAD_PORT) | host.rlike(BAD_HOST)
     return F.when(url.isNull() | broken, F.lit("")).otherwise(host)
 
 
@@ -58,6 +59,6 @@ def parse_crawl_json_strict(line: pd.Series) -> pd.DataFrame:
 def emit_crawl_json(count: Column, merged: Column, unique: Column) -> Column:
     """{"count","merged_text","unique_count"} with <, >, & and the two line separators escaped."""
     text = F.to_json(F.struct(count.alias("count"), merged.alias("merged_text"), unique.alias("unique_count")))
-    for char in "<>&  ":
+    for char in "<>&\u2028\u2029":
         text = F.replace(text, F.lit(char), F.lit(f"\\u{ord(char):04x}"))
     return text

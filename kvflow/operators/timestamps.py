@@ -88,8 +88,8 @@ def zone_names(df: DataFrame) -> DataFrame:
     return spark.createDataFrame([(str(n).lower(), str(n)) for n in names], "_lower string, _name string")
 
 
-def normalise(df: DataFrame, sources: DataFrame, text: str = "timestamp", source: str = "crawler_id") -> DataFrame:
-    """df with utc_micros BIGINT: the instant that `text` names, null if it names none.
+def normalise(df: DataFrame, sources: DataFrame, keys: list[str], text: str = "timestamp", source: str = "crawler_id") -> DataFrame:
+    """(*keys, utc_micros BIGINT): the instant that `text` names, null if it names none.
 
     * Outer white space and letter case do not count. Finer digits than microseconds are cut off, missing ones are zero.
     * A time without zone is the wall clock of the row's source. One that occurs twice is the earlier instant; one that is
@@ -100,12 +100,12 @@ def normalise(df: DataFrame, sources: DataFrame, text: str = "timestamp", source
       without time, times without date, null and empty texts name no instant.
     * Bare numbers are seconds, milliseconds or microseconds, whichever falls in 2020 to 2030, unless they are a 14-digit
       date and time.
-    * Repeated rows each get their result; columns of df are kept, whatever their names, if they do not begin with '_'.
+    * Repeated rows each get their result; other columns are not read, so their names don't matter.
     """
-    keep = df.columns
     raw = F.lower(F.regexp_replace(F.col(text), r"^\s+|\s+$", ""))
-    rows = df.withColumn("_text", F.regexp_replace(raw, r"[\s  ]+", " "))
-    rows = rows.join(bounded(sources_lookup(sources)), F.col(source) == F.col("_source"), "left")
+    kept = [F.col(name).alias(f"_key{i}") for i, name in enumerate(keys)]
+    rows = df.select(*kept, F.regexp_replace(raw, r"\s+", " ").alias("_text"), F.col(source).alias("_by"))
+    rows = rows.join(bounded(sources_lookup(sources)), F.col("_by") == F.col("_source"), "left")
 
     canonical = F.lit(None).cast("string")
     for _, pattern, ymd in reversed(CASCADE):
@@ -148,7 +148,7 @@ def normalise(df: DataFrame, sources: DataFrame, text: str = "timestamp", source
     rows = rows.withColumn("_zone", F.when(F.col("_abbr").isNotNull(), F.col("_zone")))
     named = F.when(tail == "", F.col("_zone")).when(tail.contains("/"), F.col("_name"))
     instant = F.when(named.isNotNull(), F.unix_micros(F.to_utc_timestamp(F.col("_wall"), named))).otherwise(F.unix_micros("_wall") - offset.cast("bigint") * 1_000_000)
-    return rows.select(*[F.col(f"`{name}`") for name in keep], F.coalesce(instant, _epoch_micros(F.col("_text"))).alias("utc_micros"))
+    return rows.select(*[F.col(f"_key{i}").alias(name) for i, name in enumerate(keys)], F.coalesce(instant, _epoch_micros(F.col("_text"))).alias("utc_micros"))
 
 
 def is_plain(text: Column) -> Column:

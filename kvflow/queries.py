@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kvflow.operators import nested, skew, timestamps
-from kvflow.session import table
+from kvflow.functions import hashing, text, web
+from kvflow.operators import crawl_clean, nested, skew, timestamps, wordcount
+from kvflow.plans.registry import REGISTRY
+from kvflow.session import materialise, shared_folder, table
+from kvflow.sources.outputs import laid_out
+from kvflow.streaming.words import running_word_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,9 +34,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 @query()
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    records = table(spark, d, "crawl_records").select("rec_id", "timestamp", "crawler_id")
+    records = table(spark, d, "crawl_records")
     unread = records.where(~F.coalesce(timestamps.is_plain(F.col("timestamp")), F.lit(False)))
-    return timestamps.normalise(unread, table(spark, d, "crawlers")).where(F.col("utc_micros").isNotNull()).select("rec_id", "utc_micros")
+    return timestamps.normalise(unread, table(spark, d, "crawlers"), ["rec_id"]).where("utc_micros IS NOT NULL")
 
 
 @query()
@@ -46,3 +51,278 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 """)
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return skew.key_totals(table(spark, d, "key_values"))
+
+
+# Word count and what derives from it.
+
+_TOKENS = r"SELECT doc_id, lang, source, unnest(regexp_extract_all(text, '[a-zA-Z\p{Han}]+')) AS w FROM documents"
+_WORDS = f"SELECT doc_id, lang, source, lower(w) AS word FROM ({_TOKENS})"
+_COUNTS = f"SELECT word, count(*)::BIGINT AS cnt FROM ({_WORDS}) GROUP BY word"
+_FNV = """list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(octet_length(encode(word))),
+          lambda i: ('0x' || substr(hex(encode(word)), (2 * i + 1)::INT, 2))::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295)"""
+_PLACED = f"SELECT word, {_FNV} AS fnv, ({_FNV} % 3)::INT AS reduce_id, cnt FROM ({_COUNTS})"
+
+
+def _counts(spark: SparkSession, d: str) -> DataFrame:
+    return wordcount.count_words(table(spark, d, "documents"), "text")
+
+
+@query(_COUNTS)
+def wordcount_(spark: SparkSession, d: str) -> DataFrame:
+    return _counts(spark, d)
+
+
+QUERIES["wordcount"], SQL["wordcount"] = QUERIES.pop("wordcount_"), SQL.pop("wordcount_")
+
+
+@query(_WORDS.replace("doc_id, lang, source, lower", "doc_id, lower"))
+def wordcount_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return wordcount.pairs(table(spark, d, "documents"), "text", "doc_id")
+
+
+@query(f"SELECT lang, word, count(*)::BIGINT AS cnt FROM ({_WORDS}) GROUP BY ALL")
+def wordcount_by_lang(spark: SparkSession, d: str) -> DataFrame:
+    return wordcount.count_words(table(spark, d, "documents"), "text", "lang")
+
+
+@query(f"SELECT source, word, count(*)::BIGINT AS cnt FROM ({_WORDS}) GROUP BY ALL")
+def wordcount_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return wordcount.count_words(table(spark, d, "documents"), "text", "source")
+
+
+@query("""SELECT key, coalesce(sum(CASE WHEN regexp_full_match(value, '[+-]?[0-9]+') THEN try_cast(value AS BIGINT) END), 0)::BIGINT AS total
+          FROM key_values GROUP BY key""")
+def sum_by_key(spark: SparkSession, d: str) -> DataFrame:
+    return wordcount.sum_values(table(spark, d, "key_values"), "key", "value")
+
+
+@query(f"SELECT word AS key, cnt::VARCHAR AS value FROM ({_COUNTS})")
+def reduce_udf(spark: SparkSession, d: str) -> DataFrame:
+    """The registered map and reduce functions by their names."""
+    mapper, reducer, _ = REGISTRY.resolve("wordcount_map", "wordcount_reduce")
+    return reducer.function(mapper.function(table(spark, d, "documents").select(F.col("text").alias("value"))))
+
+
+@query(f"SELECT count(*)::BIGINT AS map_output_records, count(DISTINCT word)::BIGINT AS reduce_output_keys FROM ({_WORDS})")
+def job_counters(spark: SparkSession, d: str) -> DataFrame:
+    return _counts(spark, d).agg(F.sum("cnt").alias("map_output_records"), F.count("*").alias("reduce_output_keys"))
+
+
+@query(f"SELECT DISTINCT word FROM ({_WORDS})")
+def distinct_keys(spark: SparkSession, d: str) -> DataFrame:
+    return wordcount.pairs(table(spark, d, "documents"), "text").distinct()
+
+
+@query(f"SELECT max(cnt)::BIGINT AS max_group_size FROM ({_COUNTS})")
+def max_group_size(spark: SparkSession, d: str) -> DataFrame:
+    return _counts(spark, d).agg(F.max("cnt").alias("max_group_size"))
+
+
+@query(_PLACED)
+def hash_partition(spark: SparkSession, d: str) -> DataFrame:
+    return wordcount.partitioned(_counts(spark, d), 3)
+
+
+@query(f"SELECT reduce_id, count(*)::BIGINT AS n_keys, sum(cnt)::BIGINT AS n_records FROM ({_PLACED}) GROUP BY reduce_id")
+def partition_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return hash_partition(spark, d).groupBy("reduce_id").agg(F.count("*").alias("n_keys"), F.sum("cnt").alias("n_records"))
+
+
+@query(f"SELECT reduce_id, word AS key, cnt::VARCHAR AS value FROM ({_PLACED})")
+def sort_within_partition(spark: SparkSession, d: str) -> DataFrame:
+    return laid_out(_counts(spark, d).select(F.col("word").alias("key"), F.col("cnt").cast("string").alias("value")), 3)
+
+
+@query(f"SELECT word || chr(9) || cnt::VARCHAR AS line FROM ({_COUNTS})")
+def sink_tsv(spark: SparkSession, d: str) -> DataFrame:
+    return _counts(spark, d).select(F.concat_ws("\t", "word", F.col("cnt").cast("string")).alias("line"))
+
+
+@query(f"SELECT word, cnt FROM ({_COUNTS}) ORDER BY word")
+def total_order_single_partition(spark: SparkSession, d: str) -> DataFrame:
+    """Totally ordered, as one reducer's file is; the order is made by range partitions."""
+    return _counts(spark, d).orderBy("word")
+
+
+@query(f"""SELECT sum(22 + strlen(word) + strlen(cnt::VARCHAR))::BIGINT AS json_bytes, sum(8 + strlen(word) + strlen(cnt::VARCHAR))::BIGINT AS binary_bytes,
+           round((1 - sum(8 + strlen(word) + strlen(cnt::VARCHAR)) / sum(22 + strlen(word) + strlen(cnt::VARCHAR))) * 100, 6) AS saved_pct FROM ({_COUNTS})""")
+def shuffle_size_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return wordcount.shuffle_sizes(_counts(spark, d))
+
+
+@query(f"SELECT DISTINCT word, doc_id FROM ({_WORDS})")
+def inverted_index(spark: SparkSession, d: str) -> DataFrame:
+    return wordcount.inverted_index(table(spark, d, "documents"), "text", "doc_id")
+
+
+@query("SELECT doc_id, title FROM documents WHERE regexp_matches(text, '[0-9]{4}')")
+def grep_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where(F.col("text").rlike("[0-9]{4}")).select("doc_id", "title")
+
+
+@query(f"SELECT word, cnt FROM ({_COUNTS}) ORDER BY cnt DESC, word LIMIT 20")
+def top_k_words(spark: SparkSession, d: str) -> DataFrame:
+    return _counts(spark, d).orderBy(F.desc("cnt"), "word").limit(20)
+
+
+@query("SELECT lang, text, count(*)::BIGINT AS n, min(doc_id) AS first_doc FROM documents WHERE text <> '' GROUP BY lang, text")
+def dedup_within_key(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").where("text <> ''")
+    return documents.groupBy("lang", "text").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, strlen(text)::INT AS n_bytes FROM documents WHERE text IS NOT NULL")
+def sha256_hex(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").where("text IS NOT NULL")
+    return documents.select("doc_id", hashing.sha256_hex(F.col("text")).alias("sha256"), F.octet_length("text").alias("n_bytes"))
+
+
+@query()
+def stream_wordcount(spark: SparkSession, d: str) -> DataFrame:
+    """Word count by Structured Streaming over the same files, each micro-batch replacing the table of results."""
+    schema = table(spark, d, "documents").schema
+    rows = spark.readStream.schema(schema).parquet(f"{d}/documents.parquet*")
+    done: list[DataFrame] = []
+
+    def keep(batch: DataFrame, _: int) -> None:
+        done[:] = [materialise(batch, "stream")]
+
+    stream = running_word_counts(rows, "text").writeStream.outputMode("complete").foreachBatch(keep)
+    stream.option("checkpointLocation", f"{shared_folder(spark)}/kvflow/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start().awaitTermination()
+    return done[0] if done else _counts(spark, d)
+
+
+SQL["stream_wordcount"] = _COUNTS
+
+# Crawl cleaning.
+
+_CLEAN = r"""trim(regexp_replace(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[\t\n\f\r ]+', ' ', 'g')), '[^\p{L}\p{M}\p{N}\p{P}\p{S} ]', '', 'g'))"""
+_HOST = r"""regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)', 1), '^.*@', '')"""
+_DOMAIN = rf"""CASE WHEN url IS NULL OR regexp_matches(url, '[\x00-\x1f\x7f]') OR regexp_matches({_HOST}, '%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)')
+               OR regexp_matches({_HOST}, ':[^:\]]*[^0-9:\]][^:\]]*$') OR regexp_matches({_HOST}, '[\x00- \x7f^`{{}}|\\]') THEN '' ELSE {_HOST} END"""
+_ROWS = f"SELECT * FROM (SELECT rec_id AS ord, {_DOMAIN} AS domain, {_CLEAN} AS cleaned FROM crawl_records) WHERE domain <> '' AND cleaned <> ''"
+_UNIQUE = f"SELECT domain, cleaned, min(ord) AS first, count(*)::BIGINT AS n FROM ({_ROWS}) GROUP BY domain, cleaned"
+
+
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    return crawl_clean.cleaned_rows(table(spark, d, "crawl_records"), F.col("rec_id"))
+
+
+@query(_ROWS)
+def crawl_clean_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _rows(spark, d)
+
+
+@query(f"""SELECT domain, sum(n)::BIGINT AS count, count(*)::BIGINT AS unique_count,
+           string_agg(cleaned, chr(10) || '---' || chr(10) ORDER BY first, cleaned) AS merged_text FROM ({_UNIQUE}) GROUP BY domain""")
+def crawl_clean_(spark: SparkSession, d: str) -> DataFrame:
+    return crawl_clean.merged_per_domain(_rows(spark, d))
+
+
+QUERIES["crawl_clean"], SQL["crawl_clean"] = QUERIES.pop("crawl_clean_"), SQL.pop("crawl_clean_")
+
+
+@query(f"SELECT domain, sum(n)::BIGINT AS count, count(*)::BIGINT AS unique_count FROM ({_UNIQUE}) GROUP BY domain")
+def crawl_counts(spark: SparkSession, d: str) -> DataFrame:
+    return crawl_clean.counts_per_domain(_rows(spark, d))
+
+
+@query()
+def emit_crawl_json(spark: SparkSession, d: str) -> DataFrame:
+    merged = crawl_clean.merged_per_domain(_rows(spark, d))
+    return merged.select("domain", web.emit_crawl_json(F.col("count"), F.col("merged_text"), F.col("unique_count")).alias("value"))
+
+
+@query(f"SELECT rec_id, {_DOMAIN} AS domain FROM crawl_records")
+def extract_domain(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "crawl_records").select("rec_id", web.extract_domain(F.col("url")).alias("domain"))
+
+
+@query(f"SELECT rec_id, {_CLEAN} AS cleaned FROM crawl_records")
+def clean_html(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "crawl_records").select("rec_id", text.clean_html(F.col("html")).alias("cleaned"))
+
+
+@query(r"SELECT rec_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS stripped, regexp_replace(html, '[\t\n\f\r ]+', ' ', 'g') AS collapsed FROM crawl_records")
+def strip_and_collapse(spark: SparkSession, d: str) -> DataFrame:
+    html = F.col("html")
+    return table(spark, d, "crawl_records").select("rec_id", text.strip_tags(html).alias("stripped"), text.collapse_space(html).alias("collapsed"))
+
+
+@query("SELECT rec_id, url, html, timestamp FROM crawl_records WHERE coalesce(url, html, timestamp) IS NOT NULL")
+def parse_crawl_json(spark: SparkSession, d: str) -> DataFrame:
+    """Records as JSON lines and back."""
+    lines = table(spark, d, "crawl_records").select("rec_id", F.to_json(F.struct("url", "html", "timestamp")).alias("value"))
+    parsed = lines.select("rec_id", web.parse_crawl_json(F.col("value")).alias("r")).select("rec_id", "r.*")
+    return parsed.where("coalesce(url, html, timestamp) IS NOT NULL")
+
+
+@query(r"SELECT rec_id FROM crawl_records WHERE regexp_matches(html, '[^\s\x0b]')")
+def filter_blank_lines(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "crawl_records").where(F.col("html").rlike(r"\S")).select("rec_id")
+
+
+@query(f"SELECT rec_id FROM (SELECT rec_id, {_DOMAIN} AS domain FROM crawl_records) WHERE domain <> ''")
+def filter_no_domain(spark: SparkSession, d: str) -> DataFrame:
+    return extract_domain(spark, d).where("domain <> ''").select("rec_id")
+
+
+@query(f"SELECT rec_id FROM (SELECT rec_id, {_CLEAN} AS cleaned FROM crawl_records) WHERE cleaned <> ''")
+def filter_empty_text(spark: SparkSession, d: str) -> DataFrame:
+    return clean_html(spark, d).where("cleaned <> ''").select("rec_id")
+
+
+# Patterns that map and reduce functions express: aggregates, joins of tagged inputs, secondary order.
+
+
+@query("SELECT event_type, count(*)::BIGINT AS cnt FROM events GROUP BY event_type")
+def count_per_key(spark: SparkSession, d: str) -> DataFrame:
+    return wordcount.group_sizes(table(spark, d, "events"), "event_type")
+
+
+@query("SELECT kv_id, key, CASE WHEN regexp_full_match(value, '[+-]?[0-9]+') THEN try_cast(value AS BIGINT) END AS number FROM key_values")
+def atoi_or_skip(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "key_values").select("kv_id", "key", text.integer_or_skip(F.col("value")).alias("number"))
+
+
+@query("""SELECT l_suppkey, count(*)::BIGINT AS n, round(sum(l_quantity)::DOUBLE, 4) AS total, round(avg(l_quantity)::DOUBLE, 6) AS mean,
+          min(l_quantity)::DOUBLE AS least, max(l_quantity)::DOUBLE AS most FROM lineitem GROUP BY l_suppkey""")
+def aggregates_by_key(spark: SparkSession, d: str) -> DataFrame:
+    q = F.col("l_quantity").cast("double")
+    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(
+        F.count("*").alias("n"), F.round(F.sum(q), 4).alias("total"), F.round(F.avg(q), 6).alias("mean"), F.min(q).alias("least"), F.max(q).alias("most")
+    )
+
+
+@query("""SELECT o_custkey, count(DISTINCT o_orderkey)::BIGINT AS n_orders, count(*)::BIGINT AS n_lines FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey""")
+def reduce_side_join(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"))
+    joined = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.groupBy("o_custkey").agg(F.count_distinct("o_orderkey").alias("n_orders"), F.sum("lines").alias("n_lines"))
+
+
+@query("""SELECT o_custkey, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))::INT AS nth FROM orders""")
+def secondary_sort(spark: SparkSession, d: str) -> DataFrame:
+    ordered = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(ordered).alias("nth"))
+
+
+@query("""SELECT job_id, count(*)::BIGINT AS n_tasks, sum((lower(trim(state)) = 'completed')::INT)::BIGINT AS n_done,
+          round(sum((lower(trim(state)) = 'completed')::INT) / count(*), 6) AS ratio FROM dashboard_tasks GROUP BY job_id""")
+def partition_readiness(spark: SparkSession, d: str) -> DataFrame:
+    done = F.sum(F.when(F.lower(F.trim("state")) == "completed", 1).when(F.col("state").isNotNull(), 0))
+    return table(spark, d, "dashboard_tasks").groupBy("job_id").agg(
+        F.count("*").alias("n_tasks"), done.alias("n_done"), F.round(done / F.count("*"), 6).alias("ratio")
+    )
+
+
+@query("SELECT job_id, round(median(elapsed_ms)::DOUBLE, 3) AS median_ms FROM dashboard_tasks WHERE elapsed_ms >= 0 AND elapsed_ms < 2592000000 GROUP BY job_id")
+def median_by_job(spark: SparkSession, d: str) -> DataFrame:
+    valid = table(spark, d, "dashboard_tasks").where("elapsed_ms >= 0 AND elapsed_ms < 2592000000")
+    return valid.groupBy("job_id").agg(F.round(F.median("elapsed_ms"), 3).alias("median_ms"))
+
+
+@query("SELECT ckpt_id, job_id FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY stored_at DESC NULLS LAST, ckpt_id DESC) AS r FROM job_checkpoints) WHERE r = 1")
+def latest_checkpoints(spark: SparkSession, d: str) -> DataFrame:
+    newest = F.max_by("ckpt_id", F.struct(F.coalesce(F.unix_micros("stored_at"), F.lit(-(1 << 62))), "ckpt_id"))
+    return table(spark, d, "job_checkpoints").groupBy("job_id").agg(newest.alias("ckpt_id"))
