@@ -16,7 +16,7 @@ from kvflow.functions import hashing
 def laid_out(pairs: DataFrame, n: int) -> DataFrame:
     """(reduce_id, key, value) with each key in its partition among n, sorted within it."""
     rows = pairs.select(hashing.reduce_id(F.col("key"), n).alias("reduce_id"), "key", "value")
-    return rows.repartitionById(n, "reduce_id").sortWithinPartitions("key")
+    return rows.repartitionById(n, "reduce_id").sortWithinPartitions("reduce_id", "key")
 
 
 def write_partitions(pairs: DataFrame, n: int, folder: str, prefix: str = "mr-out") -> list[str]:

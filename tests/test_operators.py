@@ -203,8 +203,8 @@ def test_key_totals(spark, rows, partitions):
 
 
 def test_heavy_key_is_split(spark):
-    df = spark.range(20_000).select(F.col("id").alias("kv_id"), F.when(F.col("id") % 10 < 9, "hot").otherwise(F.col("id").cast("string")).alias("key"))
+    df = spark.range(20_000).select(F.when(F.col("id") >= 0, F.col("id")).alias("kv_id"), F.when(F.col("id") % 10 < 9, "hot").otherwise(F.col("id").cast("string")).alias("key"))
     sizes = skew.spread(df, ["key"], ["kv_id"], 10).groupBy(F.spark_partition_id()).count().collect()
     assert max(r["count"] for r in sizes) < 4_000
-    plan = skew.key_totals(df.withColumn("value", F.lit("1")))._jdf.queryExecution().executedPlan().toString()
+    plan = skew.key_totals(df.withColumn("value", F.concat(F.lit("x"), "key")))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange hashpartitioning") == 1
