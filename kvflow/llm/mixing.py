@@ -88,12 +88,12 @@ def mix(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKE
         return rows.assign(quota=apportion(rows["tokens"].astype(float).tolist(), quota, caps))[["source", "shard", "tokens", "quota"]]
 
     given = per_shard.groupBy("source").applyInPandas(to_shards, "source string, shard int, tokens bigint, quota bigint")
-    # Whole rounds use every block; the rest goes to blocks in seeded order until their tokens reach it.
+    # Whole rounds use every block; the rest goes to blocks in seeded order as long as their tokens come closer to it.
     lottery = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "source", "shard", "block"), "block")
-    drawn = blocks.withColumn("before", F.sum("tokens").over(lottery) - F.col("tokens")).drop("tokens").join(bounded(given), ["source", "shard"])
+    drawn = blocks.withColumn("middle", F.sum("tokens").over(lottery) - F.col("tokens") / 2).drop("tokens").join(bounded(given), ["source", "shard"])
     need = F.col("quota") * block_tokens
     rounds = F.floor(need / F.col("tokens"))
-    middle = F.col("before") < (need - rounds * F.col("tokens"))
+    middle = F.col("middle") <= need - rounds * F.col("tokens")
     drawn = drawn.select("source", "shard", "block", (rounds + middle.cast("bigint")).cast("int").alias("repeats")).where("repeats > 0")
     return placed.join(drawn, ["source", "shard", "block"]).select("doc_id", "source", "shard", "block", "n_tokens", "repeats")
 

@@ -59,6 +59,8 @@ WORDS = re.compile(r"[㐀-鿿]|\w+")
 SHORT_WORDS = 30
 #: A block of so many words is running text.
 RUNNING_WORDS = 6
+#: So many of its words count when slots are weighed, so that no single page decides for a site.
+COUNTED_WORDS = 60
 #: A box with a button is a notice up to so many words.
 NOTICE_WORDS = 80
 #: A text is template if it stands on pages of so many different contents of its site, and on this share of them ...
@@ -326,7 +328,7 @@ def _first_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = (name, name_of_marks, i, block.key)
                     if at not in sums:
                         sums[at] = np.zeros(2, np.int64)
-                    sums[at] += (1, block.words if block.running else 0)
+                    sums[at] += (1, min(block.words, COUNTED_WORDS) if block.running else 0)
                     if not _may_repeat(block):
                         texts.add((name, block.key, _hash(block.text), content))
             if not any(slots):
