@@ -280,9 +280,9 @@ def count_per_key(spark: SparkSession, d: str) -> DataFrame:
     return wordcount.group_sizes(table(spark, d, "events"), "event_type")
 
 
-@query("SELECT kv_id, key, CASE WHEN regexp_full_match(value, '[+-]?[0-9]+') THEN try_cast(value AS BIGINT) END AS number FROM key_values")
+@query("SELECT kv_id, key, CASE WHEN regexp_full_match(value, '[+-]?[0-9]+') THEN try_cast(value AS BIGINT) END AS number FROM key_values WHERE regexp_full_match(value, '[+-]?[0-9]+')")
 def atoi_or_skip(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "key_values").select("kv_id", "key", text.integer_or_skip(F.col("value")).alias("number"))
+    return table(spark, d, "key_values").select("kv_id", "key", text.integer_or_skip(F.col("value")).alias("number")).where("number IS NOT NULL")
 
 
 @query("""SELECT l_suppkey, count(*)::BIGINT AS n, round(sum(l_quantity)::DOUBLE, 4) AS total, round(avg(l_quantity)::DOUBLE, 6) AS mean,
