@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from kvflow.functions import hashing, text, web
 from kvflow.operators import crawl_clean, nested, skew, timestamps, wordcount
-from kvflow.plans.registry import REGISTRY
-from kvflow.session import materialise, shared_folder, table
-from kvflow.sources.outputs import laid_out
-from kvflow.streaming.words import running_word_counts
+from kvflow.plans.jobs import mapped
+from kvflow.plans.registry import REGISTRY, Entry
+from kvflow.session import local_path, materialise, shared_folder, table
+from kvflow.sources.lines import crawl_records as crawl_lines
+from kvflow.sources.lines import read_lines
+from kvflow.sources.outputs import laid_out, write_partitions
+from kvflow.streaming.words import running_word_counts, windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -272,6 +275,61 @@ def filter_empty_text(spark: SparkSession, d: str) -> DataFrame:
     return clean_html(spark, d).where("cleaned <> ''").select("rec_id")
 
 
+# Files: written by the sinks into the shared folder and scanned again.
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/kvflow/files-{uuid.uuid4().hex}"
+
+
+def _written_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Word counts written to three partition files and read as lines with their file."""
+    folder = local_path(_scratch(spark))
+    if folder is None:
+        raise ValueError("files with given names need a shared folder that is mounted")
+    pairs = _counts(spark, d).select(F.col("word").alias("key"), F.col("cnt").cast("string").alias("value"))
+    return read_lines(spark, [f"file://{path}" for path in write_partitions(pairs, 3, folder)])
+
+
+@query(f"SELECT word AS key, cnt::VARCHAR AS value FROM ({_COUNTS})")
+def scan_text(spark: SparkSession, d: str) -> DataFrame:
+    parts = F.split("value", "\t")
+    return _written_counts(spark, d).select(parts[0].alias("key"), parts[1].alias("value"))
+
+
+@query(f"SELECT 'mr-out-' || reduce_id::VARCHAR AS name, count(*)::BIGINT AS n_lines FROM ({_PLACED}) GROUP BY reduce_id")
+def scan_multi_file(spark: SparkSession, d: str) -> DataFrame:
+    return _written_counts(spark, d).groupBy(F.regexp_extract("file", "[^/]+$", 0).alias("name")).agg(F.count("*").alias("n_lines"))
+
+
+@query("SELECT coalesce(url, '') AS url, coalesce(html, '') AS html, coalesce(timestamp, '') AS timestamp FROM crawl_records WHERE coalesce(url, html, timestamp) IS NOT NULL")
+def scan_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    folder = _scratch(spark)
+    lines = table(spark, d, "crawl_records").select(F.to_json(F.struct("url", "html", "timestamp")).alias("value"))
+    lines.union(spark.createDataFrame([("",), (" \t",), ("no json",)], "value string")).write.text(folder)
+    return crawl_lines(read_lines(spark, [folder]))
+
+
+@query(f"SELECT word AS key, cnt::VARCHAR AS value FROM ({_COUNTS})")
+def combine_udf(spark: SparkSession, d: str) -> DataFrame:
+    """The same count by a Python map function, combined before the shuffle by the registered function."""
+    _, reducer, combine = REGISTRY.resolve("wordcount_map", "wordcount_reduce", "wordcount_combine")
+    lines = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("source").alias("file"), F.col("text").alias("value"))
+    return reducer.function(mapped(lines, Entry(_python_words, native=False), combine))
+
+
+def _python_words(_: str, contents: str) -> list[tuple[str, str]]:
+    import regex
+
+    return [(word.lower(), "1") for word in regex.findall(r"[a-zA-Z\p{Han}]+", contents)]
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS kind, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def windowed_events(spark: SparkSession, d: str) -> DataFrame:
+    """The streaming windows over a finished table."""
+    return windowed_counts(table(spark, d, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "kind", "n")
+
+
 # Patterns that map and reduce functions express: aggregates, joins of tagged inputs, secondary order.
 
 
