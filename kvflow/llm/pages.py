@@ -51,6 +51,7 @@ QUOTES = frozenset("\"'”’»)")
 HEADINGS = frozenset("h1 h2 h3".split())
 NEVER_TEMPLATE = LIST_ITEMS | HEADINGS
 SENTENCE = re.compile(r"""[.!?。！？…]["'”’»)]*$""")
+STOPS = re.compile(r"[.!?。！？]+")
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|width|colspan)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORDS = re.compile(r"[㐀-鿿]|\w+")
@@ -305,8 +306,12 @@ def _hash(text: str) -> int:
 
 
 def _content(page: list[Block]) -> int:
-    """What tells a page's content from another's: its longest running text."""
-    return _hash(max((b.text for b in page if b.running), key=lambda t: (len(t), t), default=""))
+    """What tells a page's content from others': the least hash of the sentences in its long texts, which edited copies
+    mostly share; where there are none, its longest running text."""
+    running = [b for b in page if b.running]
+    long = (x.strip().lower() for b in running if b.words > SHORT_WORDS for x in STOPS.split(b.text))
+    least = min((_hash(x) for x in long if len(x) > 12), default=None)
+    return _hash(max((b.text for b in running), key=lambda t: (len(t), t), default="")) if least is None else least
 
 
 STATS = "kind int, site string, marks binary, slot int, key string, a bigint, b bigint, c bigint"
