@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import shutil
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import duckdb
@@ -24,6 +25,7 @@ from kvflow.session import local_path, materialise, shared_folder
 COMBINE_ROWS = 400_000
 PART_ROWS = 1_000_000
 RADIX_BITS = 4
+MEMORY_LIMIT = "256MB"
 #: A term in fewer records is rare, one in a larger share of all records is common.
 RARE_BELOW = 3
 COMMON_ABOVE = 0.02
@@ -48,14 +50,27 @@ def occurrences(records: DataFrame, key: str, value: str) -> DataFrame:
     return rows.select(F.inline(cells)).select("field", "term", F.xxhash64("field", "term").alias("h"), "occ", "rec")
 
 
-def _connection() -> duckdb.DuckDBPyConnection:
-    return duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "preserve_insertion_order": "false"})
+@contextmanager
+def _database(folder: str | None, on_disk: bool = False) -> Iterator[duckdb.DuckDBPyConnection]:
+    """A DuckDB database, in memory or in a file. Whatever it spills goes into the folder, never to a place of its own; without
+    a folder that file calls reach it stays in memory."""
+    place = Path(folder) / f"terms-{uuid.uuid4().hex}" if folder else None
+    config = {"threads": 1, "preserve_insertion_order": "false", "temp_directory": str(place / "tmp") if place else ""}
+    if place:
+        config["memory_limit"] = MEMORY_LIMIT
+        place.mkdir(parents=True)
+    try:
+        with duckdb.connect(str(place / "spill.duckdb") if place and on_disk else ":memory:", config=config) as db:
+            yield db
+    finally:
+        if place:
+            shutil.rmtree(place, ignore_errors=True)
 
 
-def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _combined(batches: Iterator[pa.RecordBatch], folder: str | None) -> Iterator[pa.RecordBatch]:
     """Partial sums of a task's terms, at most COMBINE_ROWS rows at a time."""
     held, rows = [], 0
-    with _connection() as db:
+    with _database(folder) as db:
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
@@ -85,38 +100,33 @@ def radix_sums(batches: Iterator[pa.RecordBatch], folder: str | None, part_rows:
             break
     else:
         if held:
-            with _connection() as db:
+            with _database(folder) as db:
                 yield from _summed(db, pa.Table.from_batches(held))
         return
-    place = Path(folder or ".") / f"terms-{uuid.uuid4().hex}"
-    place.mkdir(parents=True)
-    try:
-        with duckdb.connect(str(place / "spill.duckdb"), config={"threads": 1, "memory_limit": "256MB", "temp_directory": str(place / "tmp"), "preserve_insertion_order": "false"}) as db:
-            names = [f"p{i}" for i in range(1 << RADIX_BITS)]
-            for name in names:
-                db.execute(f"CREATE TABLE {name} (field VARCHAR, term VARCHAR, h BIGINT, occ BIGINT, rec BIGINT)")
-
-            def spill(table: pa.Table) -> None:
-                db.register("part", table)
-                for i, name in enumerate(names):
-                    db.execute(f"INSERT INTO {name} SELECT * FROM part WHERE h & {(1 << RADIX_BITS) - 1} = {i}")
-                db.unregister("part")
-
-            spill(pa.Table.from_batches(held))
-            held.clear()
-            size = 0
-            for batch in batches:
-                held.append(batch)
-                size += batch.num_rows
-                if size >= part_rows:
-                    spill(pa.Table.from_batches(held))
-                    held, size = [], 0
-            if held:
+    with _database(folder, on_disk=True) as db:
+        names = [f"p{i}" for i in range(1 << RADIX_BITS)]
+        for name in names:
+            db.execute(f"CREATE TABLE {name} (field VARCHAR, term VARCHAR, h BIGINT, occ BIGINT, rec BIGINT)")
+
+        def spill(table: pa.Table) -> None:
+            db.register("part", table)
+            for i, name in enumerate(names):
+                db.execute(f"INSERT INTO {name} SELECT * FROM part WHERE h & {(1 << RADIX_BITS) - 1} = {i}")
+            db.unregister("part")
+
+        spill(pa.Table.from_batches(held))
+        held.clear()
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= part_rows:
                 spill(pa.Table.from_batches(held))
-            for name in names:
-                yield from _split(db, name, RADIX_BITS, part_rows)
-    finally:
-        shutil.rmtree(place, ignore_errors=True)
+                held, size = [], 0
+        if held:
+            spill(pa.Table.from_batches(held))
+        for name in names:
+            yield from _split(db, name, RADIX_BITS, part_rows)
 
 
 def _split(db: duckdb.DuckDBPyConnection, name: str, bits: int, part_rows: int) -> Iterator[pa.RecordBatch]:
@@ -145,9 +155,9 @@ def term_counts(df: DataFrame, record: str = "kv_id", key: str = "key", value: s
     """
     spark = df.sparkSession
     folder = local_path(shared_folder(spark))
-    sums: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = lambda batches: radix_sums(batches, folder, part_rows)
     records = df.select(F.col(record).alias("_id"), F.col(key).alias("_key"), F.col(value).alias("_value")).distinct()
-    terms = occurrences(records, "_key", "_value").mapInArrow(_combined, AS_SQL).repartition("h").mapInArrow(sums, AS_SQL)
+    terms = occurrences(records, "_key", "_value").mapInArrow(lambda batches: _combined(batches, folder), AS_SQL)
+    terms = terms.repartition("h").mapInArrow(lambda batches: radix_sums(batches, folder, part_rows), AS_SQL)
     counted = materialise(terms.drop("h"), "terms")
     total = counted.where(F.col("field") == "").agg(F.sum("rec")).first()[0] or 0
     return counted.where(F.col("field") != "").select("field", "term", F.col("occ").alias("n_occurrences"), F.col("rec").alias("n_records"), F.lit(total).cast("bigint").alias("n_all"))
