@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvflow.functions import text, web
+from kvflow.session import parallel
 
 
 def cleaned_rows(df: DataFrame, order: Column) -> DataFrame:
     """(ord, domain, cleaned) of records with url and html; those without a domain or text are left out."""
-    rows = df.select(order.alias("ord"), web.extract_domain(F.col("url")).alias("domain"), text.clean_html(F.col("html")).alias("cleaned"))
+    source = parallel(df.select(order.alias("ord"), "url", "html"))
+    rows = source.select("ord", web.extract_domain(F.col("url")).alias("domain"), text.clean_html(F.col("html")).alias("cleaned"))
     return rows.where((F.col("domain") != "") & (F.col("cleaned") != ""))
 
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kvflow.session import parallel
+
 #: List and the field of its elements that becomes val; None: the elements are lists of scalars.
 CHECKPOINT_LISTS: dict[str, str | None] = {"map_tasks": "state", "reduce_tasks": "state", "decisions": "type", "map_done_for_reduce": None}
 #: Bytes of text indexed at a time; one document may exceed it.
@@ -213,4 +215,4 @@ def flatten_lists(df: DataFrame, key: str, body: str, lists: dict[str, str | Non
                     names=[key, "child", "idx", "sub_idx", "val"],
                 )
 
-    return df.select(F.col(key), F.col(body)).mapInArrow(run, f"`{key}` {kind}, child string, idx int, sub_idx int, val string")
+    return parallel(df.select(F.col(key), F.col(body))).mapInArrow(run, f"`{key}` {kind}, child string, idx int, sub_idx int, val string")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a lookup table may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Bytes of input a core below which an input is dealt to all cores before heavy work.
+SMALL_SPLIT_BYTES = 1 << 20
 
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
@@ -70,8 +71,14 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def cores(spark: SparkSession) -> int:
-    return max(1, int(os.environ.get("BENCH_CPUS") or spark.sparkContext.defaultParallelism))
+def parallel(df: DataFrame) -> DataFrame:
+    """df for work that takes much CPU a row: an input of a few MB, which Spark reads in one task, is dealt to all cores.
+
+    Larger inputs have enough splits and stay as they are; nothing is executed to tell.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(n) if size < n * SMALL_SPLIT_BYTES else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
