@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvflow.session import materialise
+from kvflow.session import materialise, parallel
 
 # How pieces are cut, as the result's definition has it; the elements of HTML by their role.
 CUT = re.compile(r"(<[^>]*>)")
@@ -531,7 +531,7 @@ def with_bodies(pages: DataFrame, models: DataFrame, make: Callable[[Any, list[B
 
 def crawl_pages(records: DataFrame) -> DataFrame:
     """(id, site, html) of crawl records with text; the rest has no pieces."""
-    return records.select(F.col("rec_id").alias("id"), site(F.col("url")).alias("site"), "html").where("html <> ''")
+    return parallel(records.select(F.col("rec_id").alias("id"), site(F.col("url")).alias("site"), "html").where("html <> ''"))
 
 
 def main_pieces(records: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kvflow.session import parallel
+
 #: Folder with the vocabulary files of public tokenizers.
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the pattern by which byte_bpe_50k cuts a text before merging.
@@ -196,7 +198,7 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: bytes | None = None)
             ids = pa.array([encode_one(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return parallel(df.select(F.col(key), F.col(text))).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def with_sizes(df: DataFrame, text: str, name: str = "n_tokens", vocabulary: bytes | None = None) -> DataFrame:
@@ -211,4 +213,4 @@ def with_sizes(df: DataFrame, text: str, name: str = "n_tokens", vocabulary: byt
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], sizes], names=[*keep, name])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + f", `{name}` bigint"
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`")).mapInArrow(run, schema)
+    return parallel(df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`"))).mapInArrow(run, schema)
