@@ -11,9 +11,10 @@ from kvflow.session import parallel
 
 def cleaned_rows(df: DataFrame, order: Column) -> DataFrame:
     """(ord, domain, cleaned) of records with url and html; those without a domain or text are left out."""
-    source = parallel(df.select(order.alias("ord"), "url", "html"))
-    rows = source.select("ord", web.extract_domain(F.col("url")).alias("domain"), text.clean_html(F.col("html")).alias("cleaned"))
-    return rows.where((F.col("domain") != "") & (F.col("cleaned") != ""))
+    source = parallel(df.select(order.alias("ord"), "url", "html")).withColumn("domain", web.extract_domain(F.col("url"))).where("domain <> ''")
+    # As a generated column the text is made once; a plain one would be made for the filter and again for the result.
+    rows = source.select("ord", "domain", F.explode(F.array(text.clean_html(F.col("html")))).alias("cleaned"))
+    return rows.where("cleaned <> ''")
 
 
 def unique_texts(rows: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def parallel(df: DataFrame) -> DataFrame:
     Larger inputs have enough splits and stay as they are; nothing is executed to tell.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(n) if size < n * SMALL_SPLIT_BYTES else df
 
 
