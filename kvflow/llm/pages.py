@@ -315,7 +315,6 @@ def _content(page: list[Block]) -> int:
 
 
 STATS = "kind int, site string, marks binary, slot int, key string, a bigint, b bigint, c bigint"
-KINDS = {"stream": 0, "text": 1}
 
 
 def _first_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
