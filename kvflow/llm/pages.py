@@ -77,8 +77,10 @@ TEMPLATE_NEARLY_ALL = 0.9
 #: Streams of this share of a site's blocks are its usual ones; a slot with this share of the fullest one's running text is body.
 USUAL_SHARE = 0.02
 BODY_SHARE = 0.25
-#: A kind of block with less than this share of what the site with most of it has is judged as on all sites together.
+#: A landmark is rare on a site if the share of the site's blocks in streams with it is less than this part of the largest share on any site.
 FOREIGN_SHARE = 0.1
+#: A stream is foreign to a site if more than this part of its landmarks is rare there.
+FOREIGN_MARKS = 0.5
 #: Bytes up to which the wrappers of all sites are broadcast; larger ones are joined to the pages by site.
 BROADCAST_BYTES = 48 << 20
 _tags: dict[str, tuple[str, str, str]] = {}
@@ -426,6 +428,35 @@ def site_verdicts(rows: pd.DataFrame, template_keys: set[str]) -> list[bool]:
     return [key not in template_keys and (key in own or not bodies.isdisjoint(may_be[m][slot])) for m, slot, key, _ in cells]
 
 
+def foreign_judged(own: DataFrame) -> DataFrame:
+    """(site, marks, slot, key, a, body) with the body of foreign streams judged as where they are at home.
+
+    Pages of other sites stand under a site's name too, and records without a site are of all. Their streams, whose landmarks
+    are rare on the site but usual on another, get the votes of the streams that are not foreign: in the same slot of the same
+    stream, else between the same landmarks, else of the same kind of block. Without a vote, and in all other streams, the
+    site's own verdict stands.
+    """
+    marks = F.split(F.decode("marks", "UTF-8"), "\n")
+    streams = own.groupBy("site", "marks").agg(F.sum("a").alias("a")).where("a > 0")
+    split = streams.select("site", "marks", "a", F.explode(F.array_distinct(marks)).alias("mark"))
+    totals = streams.groupBy("site").agg(F.sum("a").alias("total"))
+    shares = split.groupBy("site", "mark").agg(F.sum("a").alias("a")).join(totals, "site").select("site", "mark", (F.col("a") / F.col("total")).alias("share"))
+    shares = shares.join(shares.groupBy("mark").agg(F.max("share").alias("most")), "mark")
+    rare = F.avg((F.col("share") < FOREIGN_SHARE * F.col("most")).cast("int"))
+    foreign = split.join(shares, ["site", "mark"]).groupBy("site", "marks").agg(rare.alias("rare"))
+    foreign = foreign.where((F.col("rare") > FOREIGN_MARKS) | (F.col("site") == "")).select("site", "marks", F.lit(True).alias("foreign"))
+    edges = F.concat(F.array(F.lit("^")), marks, F.array(F.lit("$")))
+    slot = F.col("slot")
+    cells = own.join(foreign, ["site", "marks"], "left").withColumns({"before": F.element_at(edges, slot + 1), "after": F.element_at(edges, slot + 2)})
+    cells = materialise(cells, "streams")
+    home, out = cells.where("foreign IS NULL"), cells.where("foreign")
+    for vote, by in (("same", ["marks", "slot", "key"]), ("between", ["before", "after", "key"]), ("kind", ["key"])):
+        votes = home.groupBy(by).agg((2 * F.sum(F.when(F.col("body"), F.col("a")).otherwise(0)) > F.sum("a")).alias(vote))
+        out = out.join(votes, by, "left")
+    kept = ["site", "marks", "slot", "key", "a"]
+    return home.select(*kept, "body").union(out.select(*kept, F.coalesce("same", "between", "kind", "body").alias("body")))
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """(site, model BINARY) of pages (site, html): one row per site, inferred from all its pages."""
     seen = materialise(pages.select("site", "html").mapInArrow(_first_scan, STATS), "pages")
@@ -454,12 +485,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         return cells[["site", "marks", "slot", "key", "a"]].assign(body=made)
 
     own = materialise(rows.groupBy("site").applyInPandas(judge, "site string, marks binary, slot int, key string, a bigint, body boolean"), "verdicts")
-    # Pages of other sites stand under a site's name too: a kind of block that is rare here is judged by all sites.
-    here = own.groupBy("site", "key").agg(F.sum("a").alias("here"), F.sum(F.when(F.col("body"), F.col("a")).otherwise(0)).alias("as_body"))
-    anywhere = here.groupBy("key").agg(F.max("here").alias("most"), F.sum("here").alias("all"), F.sum("as_body").alias("as_body"))
-    foreign = here.drop("as_body").join(anywhere, "key").where(F.col("here") < FOREIGN_SHARE * F.col("most"))
-    foreign = foreign.select("site", "key", (2 * F.col("as_body") > F.col("all")).alias("elsewhere"))
-    final = own.join(foreign, ["site", "key"], "left").where(F.coalesce("elsewhere", "body"))
+    final = foreign_judged(own).where("body")
     final = final.select("site", F.lit(0).alias("kind"), "marks", "slot", "key", "a", F.lit(0).cast("bigint").alias("b")).union(fixed)
 
     def model(group: pd.DataFrame) -> pd.DataFrame:
@@ -537,7 +563,7 @@ def main_pieces(records: DataFrame) -> DataFrame:
     """(rec_id, piece_no INT): the pieces of each page's main body.
 
     * Pieces are the texts between tags, trimmed, the empty ones dropped, numbered from 0.
-    * Null and empty html gives no rows; records without a usable URL share one wrapper. Records that repeat a page each get
+    * Null and empty html gives no rows; records without a usable URL share one wrapper and are judged as foreign to it. Records that repeat a page each get
       their rows. Other columns are not read; an empty table gives an empty result.
     """
     pages = crawl_pages(records)

@@ -262,6 +262,21 @@ def test_main_pieces(spark, crawl):
     assert pages.main_pieces(df.limit(0)).count() == 0
 
 
+def test_small_sites_share_paths_with_a_large_one(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    teasers = lambda: "".join(f"<div>{word()} {word()} {word()}</div>" for _ in range(3))
+    large = lambda: f"<div class=top><a href=#>Home</a></div><main><h1>{word()}</h1><p>{sentences(rng, 3)}</p></main><section><h4>More</h4></section>{teasers()}<div class=foot><a href=#>Imprint</a></div>"
+    small = lambda: f"<nav><a href=#>Home</a></nav><h1>{word()}</h1><div>{sentences(rng, 3)}</div><div>{sentences(rng, 2)}</div><aside><h4>Read on</h4></aside>{teasers()}<footer><a href=#>Terms</a></footer>"
+    made = [("large", large()) for _ in range(300)] + [(f"small{i % 2}", small()) for i in range(28)] + [("small0", large())]
+    data = [(i, f"https://{host}.example/{i}", html) for i, (host, html) in enumerate(made)]
+    found = defaultdict(list)
+    for r in pages.main_pieces(spark.createDataFrame(data, "rec_id bigint, url string, html string")).collect():
+        found[r.rec_id].append(r.piece_no)
+    for i, (_, html) in enumerate(made):
+        assert sorted(found[i]) == ([1, 2, 3] if html.startswith("<nav>") else [1, 2])
+
+
 def test_models_too_large_to_broadcast(spark, rows, crawl, monkeypatch):
     df = spark.createDataFrame(crawl, "rec_id bigint, url string, html string")
     small = rows(pages.main_pieces(df))
