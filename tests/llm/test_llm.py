@@ -209,6 +209,27 @@ def test_truncation(spark):
     assert truncation.truncated(df.limit(0)).count() == 0
 
 
+def test_limits_inside_a_character(spark):
+    rng = random.Random(13)
+    ascii_ones = [sentences(rng, 12)[:200] for _ in range(60)]
+    split = [("abc"[: i % 3] + sentences(rng, 1) + "炉子终于修好了仓库昨天整理" * 20).encode()[:200] for i in range(30)]
+    split = [x.decode("utf-8", "ignore") for x in split]
+    made = [("api", t) for t in ascii_ones if t[-1] not in ".! "] + [("api", t) for t in split]
+    made += [("api", "x" * 199), ("api", "é" + "x" * 196), ("api", "é" * 99 + "."), ("chars", "é" + "x" * 197)]
+    made += [("chars", t) for t in ascii_ones if t[-1] not in ".! "] + [("chars", "ö" + t[:199]) for t in ascii_ones if t[198] not in ".! "]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(made)], "doc_id bigint, source string, text string")
+    found = {r.doc_id for r in truncation.truncated(df).where("evidence = 'limit'").collect()}
+    assert {len(t.encode()) for t in split} == {198, 199, 200}
+    for i, (source, text) in enumerate(made):
+        assert (i in found) == (text in split or len(text) == 200), (source, text)
+
+
+def test_limits_near_a_larger_one(spark, rows):
+    data = [("s", x, x, 1, i) for x, n in ((1000, 900), (1010, 80), (1015, 6), (400, 3)) for i in range(n)]
+    df = spark.createDataFrame(data, "source string, chars int, bytes int, widest int, copy bigint")
+    assert {r.length for r in truncation.field_limits(df).collect()} == {1000, 1010, 1015}
+
+
 def test_prefixes(spark, rows):
     texts = ["a", "ab", "abc", "b", "ba", "c", "c", "d" * 1000, "d" * 1001, "", "zz"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
