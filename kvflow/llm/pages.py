@@ -7,8 +7,8 @@ after the other: equal landmarks are template, repeated ones fold into a repeate
 become optional, and what lies between two landmarks is a slot of text blocks. The slot that holds most of the site's
 running text is the body; texts that recur on pages with different content are template text wherever they stand.
 
-The first scan adds up, for each site, its different streams with what their slots hold, and its short texts; both are
-summed before the shuffle and do not grow with the number of a site's pages. Wrappers are inferred from these per site. The
+The first scan adds up, for each site, its different streams with what their slots hold, which do not grow with the number of
+a site's pages, and the hashes of its texts; both are summed before the shuffle. Wrappers are inferred from these per site. The
 second scan looks up each page's stream and gives the numbers of the body's pieces.
 """
 
@@ -56,7 +56,7 @@ NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|width|colspan)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORDS = re.compile(r"[㐀-鿿]|\w+")
 
-#: Only texts of at most so many words can be template texts.
+#: Texts of more words tell a page's content.
 SHORT_WORDS = 30
 #: A block of so many words is running text.
 RUNNING_WORDS = 6
@@ -307,28 +307,41 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _content(page: list[Block]) -> int:
-    """What tells a page's content from others': the least hash of the sentences in its long texts, which edited copies
-    mostly share; where there are none, its longest running text."""
+def _contents(page: list[Block]) -> Callable[[Block], int]:
+    """What tells a page's content from others', seen from one of its blocks: the least hash of the sentences in the other long
+    texts, which edited copies mostly share; where there are none, the longest other running text."""
     running = [b for b in page if b.running]
-    long = (x.strip().lower() for b in running if b.words > SHORT_WORDS for x in STOPS.split(b.text))
-    least = min((_hash(x) for x in long if len(x) > 12), default=None)
-    return _hash(max((b.text for b in running), key=lambda t: (len(t), t), default="")) if least is None else least
+    least: list[tuple[int, Block]] = []
+    for block in running:
+        if block.words > SHORT_WORDS:
+            hashes = [_hash(x) for x in (x.strip().lower() for x in STOPS.split(block.text)) if len(x) > 12]
+            if hashes:
+                least.append((min(hashes), block))
+    least.sort(key=lambda x: x[0])
+    longest = sorted(running, key=lambda b: (len(b.text), b.text), reverse=True)
+
+    def content(block: Block) -> int:
+        for found, other in least[:2]:
+            if other is not block:
+                return found
+        return _hash(next((b.text for b in longest[:2] if b is not block), ""))
+
+    return content
 
 
 STATS = "kind int, site string, marks binary, slot int, key string, a bigint, b bigint, c bigint"
 
 
 def _first_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each batch: sums per site, stream, slot and kind of block; different short texts per site and content."""
+    """Of each batch: sums per site, stream, slot and kind of block; different texts per site and content."""
     for batch in batches:
         sums: dict[tuple[str, bytes, int, str], np.ndarray] = {}
-        texts: set[tuple[str, str, int, int]] = set()
+        texts: set[tuple[str, int, str, int, int]] = set()
         for name, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             page = blocks(html)
             marks, slots = stream(page)
             name_of_marks = "\n".join(marks).encode("utf-8", "replace")
-            content = _content(page)
+            content = _contents(page)
             for i, slot in enumerate(slots):
                 for block in slot:
                     at = (name, name_of_marks, i, block.key)
@@ -336,19 +349,19 @@ def _first_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         sums[at] = np.zeros(2, np.int64)
                     sums[at] += (1, min(block.words, COUNTED_WORDS) if block.running else 0)
                     if not _may_repeat(block):
-                        texts.add((name, block.key, _hash(block.text), content))
+                        texts.add((name, int(block.words > SHORT_WORDS), block.key, _hash(block.text), content(block)))
             if not any(slots):
                 sums.setdefault((name, name_of_marks, 0, ""), np.zeros(2, np.int64))
         rows = [(0, n, m, i, k, int(v[0]), int(v[1]), 0) for (n, m, i, k), v in sums.items()]
-        rows += [(1, n, None, 0, k, t, c, 0) for n, k, t, c in texts]
+        rows += [(1, n, None, i, k, t, c, 0) for n, i, k, t, c in texts]
         columns = list(zip(*rows, strict=True)) if rows else [()] * 8
         types = [pa.int32(), pa.string(), pa.binary(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kind", "site", "marks", "slot", "key", "a", "b", "c"])
 
 
 def _may_repeat(block: Block) -> bool:
-    """Whether a block is too long to be template, or an item or heading, which recur in bodies too."""
-    return block.words > SHORT_WORDS or block.tail in NEVER_TEMPLATE
+    """Whether a block is an item or heading, which recur in bodies too."""
+    return block.tail in NEVER_TEMPLATE
 
 
 def align(wrapper: list[str], marks: tuple[str, ...]) -> list[tuple[int, int]]:
@@ -461,10 +474,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
     """(site, model BINARY) of pages (site, html): one row per site, inferred from all its pages."""
     seen = materialise(pages.select("site", "html").mapInArrow(_first_scan, STATS), "pages")
     streams = seen.where("kind = 0").groupBy("site", "marks", "slot", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    texts = seen.where("kind = 1").select("site", "key", F.col("a").alias("text"), F.col("b").alias("content")).distinct()
+    texts = seen.where("kind = 1").select("site", "slot", "key", F.col("a").alias("text"), F.col("b").alias("content")).distinct()
     # Different contents of each text of a site, and sites of each text.
     per_text = texts.groupBy("site", "key", "text").agg(F.count("*").alias("n"))
-    contents = texts.groupBy("site", "content").agg(F.lit(1).alias("one")).groupBy("site").agg(F.count("*").alias("contents"))
+    # Long texts, of slot 1, see a page's content without themselves, so they count only where a site has no others.
+    contents = texts.groupBy("site", "content").agg(F.min("slot").alias("slot")).groupBy("site").agg(F.coalesce(F.nullif(F.count_if(F.col("slot") == 0), F.lit(0)), F.count("*")).alias("contents"))
     sites = per_text.groupBy("text").agg(F.count_distinct("site").alias("sites"), F.sum("n").alias("everywhere"))
     judged = per_text.join(contents, "site").join(sites, "text")
     often = (F.col("n") >= TEMPLATE_PAGES) & (F.col("n") >= TEMPLATE_SHARE * F.col("contents")) | (

@@ -298,6 +298,17 @@ def test_small_sites_share_paths_with_a_large_one(spark):
         assert sorted(found[i]) == ([1, 2, 3] if html.startswith("<nav>") else [1, 2])
 
 
+def test_long_texts_recur_too(spark):
+    rng = random.Random(14)
+    about = "<h4>About</h4><div>" + " ".join(f"we{c} write here about gardens" for c in "abcdefg") + " and more.</div>"
+    made = [f"<nav><a href=#>Home</a></nav><h1>Head {i}</h1><div>{sentences(rng, 5)}<br>{sentences(rng, 5)}</div>{about if i % 3 else ''}<footer><a href=#>Terms</a></footer>" for i in range(60)]
+    data = [(i, f"https://s.example/{i}", html) for i, html in enumerate(made)]
+    found = defaultdict(list)
+    for r in pages.main_pieces(spark.createDataFrame(data, "rec_id bigint, url string, html string")).collect():
+        found[r.rec_id].append(r.piece_no)
+    assert all(sorted(found[i]) == [1, 2, 3] for i in range(len(made)))
+
+
 def test_models_too_large_to_broadcast(spark, rows, crawl, monkeypatch):
     df = spark.createDataFrame(crawl, "rec_id bigint, url string, html string")
     small = rows(pages.main_pieces(df))
