@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 #: Bytes of input a core below which an input is dealt to all cores before heavy work.
 SMALL_SPLIT_BYTES = 1 << 20
+#: Tables written by materialise that are still there.
+_left: dict[str, SparkSession] = {}
 
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
@@ -58,12 +61,40 @@ def local_path(folder: str) -> str | None:
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write df once as a table in the shared folder and read it back.
 
-    It cuts the lineage as checkpoint() does, but columnar and compressed, and survives the loss of any executor.
+    It cuts the lineage as checkpoint() does, but columnar and compressed, and survives the loss of any executor. The table
+    stays until discard() or the end of the session's program.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/kvflow/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._kvflow_path = path
+    if not _left:
+        atexit.register(_clear)
+    _left[path] = spark
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that no unfinished plan reads any more."""
+    for table in tables:
+        path = getattr(table, "_kvflow_path", None)
+        if path and _left.pop(path, None) is not None:
+            _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _clear() -> None:
+    """Tables that lazy results may have read until now. Where the session is gone, the shared folder's owner clears it."""
+    for path, spark in _left.items():
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001
+            return
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
