@@ -3,8 +3,9 @@
 Records with the same set of word runs form a class, and only one representative of each class is compared. One permutation
 of the runs fills the bins of a sketch; an empty bin takes the value of the first filled one in an order of its own. Bands of
 bins are bucket keys. In each bucket every member is linked with one hub only, so a bucket of n gives n - 1 candidate edges
-however alike its members are, and the hub of a group differs from band to band. Candidates are verified on the whole sets;
-what verified edges connect is then compared completely.
+however alike its members are, and the hub of a group differs from band to band. These edges are verified on the whole sets.
+Two classes are then compared if they share a verified hub. What they have in common with the hub bounds their similarity
+from both sides, which decides most pairs; only for the rest are the sets compared.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvflow.llm.pages import Block, crawl_pages, with_bodies, wrappers
-from kvflow.session import bounded, materialise
+from kvflow.llm import pages
+from kvflow.session import bounded, discard, materialise
 
 #: Words in a run, and the similarity from which two records are near-duplicates, as this project's data states them.
 RUN_WORDS = 3
@@ -31,7 +32,13 @@ BAND_ROWS = 4
 SEED = 7
 #: Classes with candidates up to which their ids, 8 bytes each, are broadcast; more are joined by shuffle.
 INVOLVED_ROWS = 1_000_000
+#: Body cells and template texts that are shipped to all workers, 8 bytes each; with more, the choice of blocks is a join.
+SHIPPED_KEYS = 4_000_000
+#: Classes that a task remembers so as to band each once; what it forgets is banded again, which changes no result.
+REMEMBERED = 1_000_000
 WORD = re.compile(r"[^\W_]+")
+#: ASCII signs that part words.
+PARTING = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum()})
 _codes: dict[str, int] = {}
 
 
@@ -44,37 +51,48 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def words(text: str) -> list[str]:
     """Runs of letters and digits of a text with entities decoded, in lower case."""
-    return WORD.findall(html.unescape(text).lower())
-
-
-def run_hashes(found: list[str], size: int = RUN_WORDS) -> np.ndarray:
-    """The distinct runs of `size` words as sorted 32-bit numbers; fewer words have none."""
-    if len(found) < size:
-        return np.empty(0, np.uint32)
-    codes = np.empty(len(found), np.uint64)
-    for i, word in enumerate(found):
-        code = _codes.get(word)
-        if code is None:
-            if len(_codes) > 500_000:
-                _codes.clear()
-            code = _codes[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        codes[i] = code
-    n = len(found) - size + 1
+    text = html.unescape(text).lower()
+    return text.translate(PARTING).split() if text.isascii() else WORD.findall(text)
+
+
+def run_hashes(found: list[list[str]], size: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, run) of the distinct runs of `size` words of each list, runs as 32-bit numbers, sorted by both."""
+    if len(_codes) > 500_000:
+        _codes.clear()
+    codes: list[int] = []
+    for own in found:
+        for word in own:
+            code = _codes.get(word)
+            if code is None:
+                code = _codes[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+            codes.append(code)
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    n = max(len(codes) - size + 1, 0)
+    values = np.array(codes, np.uint64)
     state = np.zeros(n, np.uint64)
     for i in range(size):
-        state = _mix(state * np.uint64(3) + codes[i : i + n] + np.uint64(i + 1))
-    return np.unique((state >> np.uint64(32)).astype(np.uint32))
-
-
-def sketches(sets: list[np.ndarray], bins: int = BINS, seed: int = SEED) -> np.ndarray:
-    """One row of `bins` values per set, none of which may be empty."""
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    mixed = _mix(np.concatenate(sets).astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))) if len(sets) else np.empty(0, np.uint64)
-    shift = np.uint64(64 - (bins.bit_length() - 1))
-    table = np.full((len(sets), bins), np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(table, (owner, (mixed >> shift).astype(np.int64)), mixed & ((np.uint64(1) << shift) - np.uint64(1)))
-    filled = table != np.iinfo(np.uint64).max
+        state = _mix(state * np.uint64(3) + values[i : i + n] + np.uint64(i + 1))
+    owner = np.repeat(np.arange(len(found), dtype=np.uint64), sizes)
+    # A run belongs to the list that holds all of it.
+    whole = owner[:n] == owner[len(codes) - n :] if n else np.zeros(0, bool)
+    both = np.unique((owner[:n] << np.uint64(32) | state >> np.uint64(32))[whole])
+    return (both >> np.uint64(32)).astype(np.int64), both.astype(np.uint32)
+
+
+def sketches(owner: np.ndarray, runs: np.ndarray, n: int, bins: int = BINS, seed: int = SEED) -> np.ndarray:
+    """One row of `bins` values for each of n sets, given as sorted (owner, run); none may be empty.
+
+    The runs are numbers that a hash has mixed, so their own order is the permutation: the first bits name the bin, and the
+    least run of each bin is its value.
+    """
+    bits = bins.bit_length() - 1
+    column = (runs >> np.uint32(32 - bits)).astype(np.int64)
+    first = np.ones(len(runs), bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (column[1:] != column[:-1])
+    table = np.zeros((n, bins), np.uint32)
+    filled = np.zeros((n, bins), bool)
+    table[owner[first], column[first]] = runs[first]
+    filled[owner[first], column[first]] = True
     # Each bin has an order of all bins; an empty one takes the first filled bin in its order.
     order = np.argsort(np.random.default_rng(seed).random((bins, bins)), axis=1)
     row, column = np.nonzero(~filled)
@@ -94,33 +112,100 @@ def band_keys(table: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
     parts = table.reshape(n, bins // rows, rows)
     state = np.broadcast_to(np.arange(1, bins // rows + 1, dtype=np.uint64), parts.shape[:2])
     for i in range(rows):
-        state = _mix(state * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, i])
+        state = _mix(state * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, i].astype(np.uint64))
     return state.view(np.int64)
 
 
-def run_sets(records: DataFrame) -> DataFrame:
-    """(id, cls, runs ARRAY<INT>) of the records whose main text has a run; cls is equal for equal sets."""
+SETS = "id bigint, cls bigint, runs array<int>, bands array<bigint>"
+
 
-    def make(key: int, found: list[Block]) -> tuple[int, np.ndarray]:
-        return key, run_hashes(words(" ".join(b.text for b in found)))
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
 
-    def build(found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        found = [(key, runs) for key, runs in found if len(runs)]
-        classes = [xxhash.xxh3_64_intdigest(runs.tobytes()) - (1 << 63) for _, runs in found]
-        offsets = np.concatenate([[0], np.cumsum([len(runs) for _, runs in found])]).astype(np.int32)
-        values = np.concatenate([np.empty(0, np.uint32), *(runs for _, runs in found)]).astype(np.uint32).view(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-        return pa.RecordBatch.from_arrays([pa.array([key for key, _ in found], pa.int64()), pa.array(classes, pa.int64()), lists], names=["id", "cls", "runs"])
 
-    pages = crawl_pages(records)
-    models = materialise(wrappers(pages), "wrappers")
-    return with_bodies(pages, models, make, "id bigint, cls bigint, runs array<int>", build)
+def _sets(ids: pa.Array, texts: list[str], seen: set[int]) -> pa.RecordBatch:
+    """Rows (id, cls, runs, bands) of the texts that have a run; runs and bands only of classes that this task has not seen."""
+    owner, runs = run_hashes([words(t) for t in texts])
+    has, start = np.unique(owner, return_index=True)
+    ends = np.append(start[1:], len(runs))
+    classes = [xxhash.xxh3_64_intdigest(runs[a:b].tobytes()) - (1 << 63) for a, b in zip(start, ends, strict=True)]
+    fresh = np.zeros(len(classes), bool)
+    for i, cls in enumerate(classes):
+        if cls not in seen:
+            fresh[i] = True
+            seen.add(cls)
+    if len(seen) > REMEMBERED:
+        seen.clear()
+    sizes = np.where(fresh, ends - start, 0)
+    kept = np.repeat(fresh, ends - start)
+    rank = np.cumsum(fresh) - 1
+    own = np.repeat(rank, ends - start)[kept]
+    bands = band_keys(sketches(own, runs[kept], int(fresh.sum())))
+    columns = [ids.take(pa.array(has)), pa.array(classes, pa.int64()), _lists(sizes, pa.array(runs[kept].view(np.int32))), _lists(np.where(fresh, bands.shape[1], 0), pa.array(bands.ravel()))]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "cls", "runs", "bands"])
+
+
+def run_sets(records: DataFrame) -> DataFrame:
+    """(id, cls, runs ARRAY<INT>, bands ARRAY<BIGINT>) of the records whose main text has a run, as a table.
+
+    cls is equal for equal sets. Of equal ones that one task reads, one row has runs and bands, the others empty lists.
+    """
+    seen = pages.parsed(pages.crawl_pages(records), with_text=True)
+    cells, fixed = pages.model(seen)
+    if cells.count() + fixed.count() <= SHIPPED_KEYS:
+        keys = [np.sort(t.toArrow().column(0).combine_chunks().to_numpy(zero_copy_only=False)) for t in (cells, fixed)]
+        shipped = seen.sparkSession.sparkContext.broadcast(keys)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: set[int] = set()
+            body, template = shipped.value
+            for batch in batches:
+                lists = batch.column(2)
+                each = lists.flatten()
+                cell, other, text, repeats = (each.field(i) for i in range(4))
+                owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                home = batch.column(1).to_numpy()[owner]
+                chosen = _among(cell.to_numpy(), body)
+                marks = np.flatnonzero(chosen & other.is_valid().to_numpy(zero_copy_only=False))
+                chosen[marks] = _among(other.take(pa.array(marks)).to_numpy(), body)
+                chosen &= ~_among(text.to_numpy() ^ home, template) | repeats.to_numpy(zero_copy_only=False)
+                found: dict[int, list[str]] = {}
+                at = np.flatnonzero(chosen)
+                for page, part in zip(owner[at].tolist(), each.field(4).take(pa.array(at)).to_pylist(), strict=True):
+                    found.setdefault(page, []).append(part)
+                yield _sets(batch.column(0).take(pa.array(list(found), pa.int64())), [" ".join(parts) for parts in found.values()], known)
+
+        wanted = F.transform("blocks", lambda b: F.struct(b["cell"], b["other"], b["text"], b["repeats"], b["body"]))
+        made = seen.select("id", "home", wanted.alias("blocks")).mapInArrow(run, SETS)
+    else:
+        parts = pages.bodies(seen, (cells, fixed)).groupBy("page", "id").agg(F.array_sort(F.collect_list(F.struct("first", "body"))).alias("parts"))
+
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: set[int] = set()
+            for batch in batches:
+                yield _sets(batch.column(0), batch.column(1).to_pylist(), known)
+
+        made = parts.select("id", F.array_join(F.transform("parts", lambda p: p["body"]), " ")).mapInArrow(joined, SETS)
+    sets = materialise(made, "runs")
+    discard(seen, cells)
+    return sets
+
+
+def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted keys."""
+    if not len(keys):
+        return np.zeros(len(values), bool)
+    return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
+
+
+STARS = "hub bigint, cls bigint, bucket bigint"
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (bucket, cls) sorted by both: the edges (hub, member), and the hubs of the first and the last bucket with these."""
+    """Of rows (bucket, cls) sorted by both: the edges (hub, member), those of buckets that may go on elsewhere with their
+    bucket, and the hubs of the first and the last bucket, without a member."""
     seen: tuple[int, int] | None = None
-    first = True
+    first: int | None = None
     for batch in batches:
         bucket, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(bucket):
@@ -132,59 +217,82 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hubs = np.minimum.reduceat(cls ^ np.repeat(turn, sizes), starts) ^ turn
         if seen and seen[0] == bucket[0]:
             hubs[0] = seen[1]
+        if first is None:
+            first = int(bucket[0])
+            yield _edges(hubs[:1], None, bucket[:1])
         hub = np.repeat(hubs, sizes)
         linked = hub != cls
-        pairs = np.unique(np.stack([np.minimum(hub, cls)[linked], np.maximum(hub, cls)[linked]]), axis=1)
-        yield _edges(pairs[0], pairs[1], np.zeros(0, np.int64), np.zeros(0, np.int64))
-        if first:
-            yield _edges(pairs[0][:0], pairs[1][:0], bucket[:1], hubs[:1])
-        seen, first = (int(bucket[-1]), int(hubs[-1])), False
+        yield _edges(hub[linked], cls[linked], bucket[linked], (first, int(bucket[-1])))
+        seen = int(bucket[-1]), int(hubs[-1])
     if seen:
-        yield _edges(np.zeros(0, np.int64), np.zeros(0, np.int64), np.array([seen[0]]), np.array([seen[1]]))
+        yield _edges(np.array([seen[1]]), None, np.array([seen[0]]))
 
 
-def _edges(a: np.ndarray, b: np.ndarray, bucket: np.ndarray, hub: np.ndarray) -> pa.RecordBatch:
-    none = pa.nulls
-    columns = [pa.array(np.concatenate([a, hub])), pa.concat_arrays([pa.array(b, pa.int64()), none(len(hub), pa.int64())]), pa.concat_arrays([none(len(a), pa.int64()), pa.array(bucket, pa.int64())])]
-    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "bucket"])
+def _edges(hub: np.ndarray, cls: np.ndarray | None, bucket: np.ndarray, ends: tuple[int, int] | None = None) -> pa.RecordBatch:
+    inner = ~np.isin(bucket, ends) if ends else None
+    columns = [pa.array(hub, pa.int64()), pa.nulls(len(hub), pa.int64()) if cls is None else pa.array(cls, pa.int64()), pa.array(bucket, pa.int64(), mask=inner)]
+    return pa.RecordBatch.from_arrays(columns, names=["hub", "cls", "bucket"])
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """(a, b) with a < b: in each bucket of the sets (cls, runs) the edges from every member to a hub.
+    """(hub, cls): in each bucket of the sets (cls, bands) the edges from its hub to every other member.
 
     Members are range-partitioned by bucket and class, so a bucket that holds a large part of all sets is spread over many
-    tasks; each gives it a hub of its own, and these hubs are linked with each other.
+    tasks; each links its members to a hub of its own, which is then replaced by the least of the bucket's hubs.
     """
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            runs = lists.values.to_numpy(zero_copy_only=False).view(np.uint32)
-            offsets = lists.offsets.to_numpy()
-            classes, rows = np.unique(batch.column(0).to_numpy(), return_index=True)
-            for at in range(0, len(classes), 2_000):
-                part = rows[at : at + 2_000]
-                keys = band_keys(sketches([runs[offsets[i] : offsets[i + 1]] for i in part]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(classes[at : at + 2_000], keys.shape[1]))], names=["bucket", "cls"])
-
-    members = sets.select("cls", "runs").mapInArrow(keyed, "bucket bigint, cls bigint")
+    members = sets.select(F.explode("bands").alias("bucket"), "cls")
     ranged = members.repartitionByRange("bucket", "cls").sortWithinPartitions("bucket", "cls")
-    stars = materialise(ranged.mapInArrow(_stars, "a bigint, b bigint, bucket bigint"), "stars")
+    stars = materialise(ranged.mapInArrow(_stars, STARS), "stars")
     # Two rows a partition.
-    ends = stars.where("b IS NULL").select("bucket", F.col("a").alias("hub")).distinct()
-    across = ends.join(ends.groupBy("bucket").agg(F.min("hub").alias("least")), "bucket").where("hub <> least").select(F.col("least").alias("a"), F.col("hub").alias("b"))
-    return stars.where("b IS NOT NULL").select("a", "b").union(across).distinct()
+    ends = stars.where("cls IS NULL").select("bucket", "hub").distinct()
+    least = ends.groupBy("bucket").agg(F.min("hub").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    inner = stars.where("cls IS NOT NULL AND bucket IS NULL").select("hub", "cls")
+    outer = stars.where("cls IS NOT NULL AND bucket IS NOT NULL").join(least, "bucket", "left").select(F.coalesce("least", "hub").alias("hub"), "cls")
+    hubs = ends.join(least, "bucket").select(F.col("least").alias("hub"), F.col("hub").alias("cls"))
+    return inner.union(outer).union(hubs).where("hub <> cls").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
+def common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with the sizes na and nb of their sets and the number `both` of common runs."""
     left = sets.select(F.col("cls").alias("a"), F.col("runs").alias("_x"))
     right = sets.select(F.col("cls").alias("b"), F.col("runs").alias("_y"))
-    # Sets of too different size can't be similar; only the rest is intersected.
-    x, y = F.size("_x"), F.size("_y")
-    both = F.size(F.array_intersect("_x", "_y"))
-    near = (F.least(x, y) >= F.greatest(x, y) * similar) & (both >= (x + y - both) * similar)
-    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
+    joined = pairs.join(left, "a").join(right, "b")
+    return joined.select(*pairs.columns, F.size("_x").alias("na"), F.size("_y").alias("nb"), F.size(F.array_intersect("_x", "_y")).alias("both"))
+
+
+def _similar(similar: float, both: Column) -> Column:
+    """Whether sets of the sizes na and nb with so many common runs reach the similarity."""
+    return both * (1 + similar) >= (F.col("na") + F.col("nb")) * similar
+
+
+def similar_classes(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(a, b) with a < b: the pairs of similar classes of the sets (cls, runs, bands) that share a verified hub, as a table.
+
+    Each pair is made once, for the least of the hubs that both have. The members of one verified hub have much in common
+    with it, hence on average with each other, so the number of pairs made is in the order of that of similar ones.
+    """
+    edges = materialise(candidates(sets), "candidates")
+    # From here on only classes with a candidate matter, one set of each.
+    involved = bounded(edges.select(F.explode(F.array("hub", "cls")).alias("cls")).distinct(), INVOLVED_ROWS)
+    unique = materialise(sets.select("cls", "runs").where("size(bands) > 0").join(involved, "cls", "left_semi").dropDuplicates(["cls"]), "classes")
+    links = materialise(common(edges.toDF("a", "b"), unique).where(_similar(similar, F.col("both"))), "links")
+    spokes = links.select(F.col("a").alias("hub"), F.col("na").alias("nh"), F.col("b").alias("cls"), F.col("nb").alias("n"), "both")
+    own = F.col("nh")
+    spokes = spokes.union(spokes.select("hub", "nh", F.col("hub").alias("cls"), own.alias("n"), own.alias("both")).distinct())
+    hubs = spokes.groupBy("cls").agg(F.collect_set("hub").alias("hubs"))
+    spokes = materialise(spokes.join(hubs, "cls"), "spokes")
+    x = spokes.select("hub", "nh", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("both").alias("ha"), F.col("hubs").alias("_x"))
+    y = spokes.select("hub", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("both").alias("hb"), F.col("hubs").alias("_y"))
+    once = (F.col("a") < F.col("b")) & (F.array_min(F.array_intersect("_x", "_y")) == F.col("hub"))
+    # Of what each shares with the hub, so much both share at least; no more than the less of it and of the rest at most.
+    least = F.col("ha") + F.col("hb") - F.col("nh")
+    most = F.least("ha", "hb") + F.least(F.col("na") - F.col("ha"), F.col("nb") - F.col("hb"))
+    pairs = x.join(y, "hub").where(once & _similar(similar, most)).select("a", "b", _similar(similar, least).alias("sure"))
+    pairs = materialise(pairs, "pairs")
+    close = common(pairs.where("NOT sure").select("a", "b"), unique).where(_similar(similar, F.col("both")))
+    found = materialise(pairs.where("sure").select("a", "b").union(close.select("a", "b")), "similar")
+    discard(edges, unique, links, spokes, pairs)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -209,23 +317,10 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def similar_classes(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(a, b) with a < b: all pairs of similar classes in what the verified candidates of the sets (cls, runs) connect."""
-    edges = materialise(candidates(sets), "candidates")
-    # From here on only classes with a candidate matter, one set of each.
-    involved = bounded(edges.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), INVOLVED_ROWS)
-    unique = materialise(sets.select("cls", "runs").join(involved, "cls", "left_semi").dropDuplicates(["cls"]), "classes")
-    links = verified(edges, unique, similar)
-    nodes = materialise(components(links), "components")
-    others = nodes.select(F.col("node").alias("b"), "root")
-    pairs = nodes.select(F.col("node").alias("a"), "root").join(others, "root").where("a < b").select("a", "b")
-    return verified(pairs, unique, similar)
-
-
 def near_duplicates(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((id, cls) of every record with a main text, (a, b) of similar classes)."""
-    sets = materialise(run_sets(records), "runs")
-    return sets.select("id", "cls"), materialise(similar_classes(sets), "similar")
+    sets = run_sets(records)
+    return sets.select("id", "cls"), similar_classes(sets)
 
 
 def duplicate_pairs(records: DataFrame) -> DataFrame:
@@ -245,6 +340,13 @@ def duplicate_pairs(records: DataFrame) -> DataFrame:
     return same.union(other).distinct()
 
 
+def groups(records: DataFrame) -> DataFrame:
+    """(rec_id, group_id) of every record with a main text: what similar pairs connect; group_id is the least class in it."""
+    members, links = near_duplicates(records)
+    roots = components(links).select(F.col("node").alias("cls"), "root")
+    return members.join(roots, "cls", "left").select(F.col("id").alias("rec_id"), F.coalesce("root", "cls").alias("group_id"))
+
+
 def class_links(records: DataFrame) -> DataFrame:
     """(rec_id, class_id, n_records, n_links): each record's class, the class's size, and how many other classes are similar."""
     members, links = near_duplicates(records)

@@ -5,34 +5,34 @@ A page is read as a stream of blocks: runs of text between block-level tags, eac
 buttons and scripts are landmarks. As in union-free regular-expression inference, the streams of a site are aligned one
 after the other: equal landmarks are template, repeated ones fold into a repeated group, landmarks that some pages lack
 become optional, and what lies between two landmarks is a slot of text blocks. The slot that holds most of the site's
-running text is the body; texts that recur on pages with different content are template text wherever they stand.
+running text is the body; texts that recur on pages with different content are template text wherever they stand. A landmark
+that stands among paragraphs of its own kind (a linked paragraph, a small subheading) is judged as these are.
 
-The first scan adds up, for each site, its different streams with what their slots hold, which do not grow with the number of
-a site's pages, and the hashes of its texts; both are summed before the shuffle. Wrappers are inferred from these per site. The
-second scan looks up each page's stream and gives the numbers of the body's pieces.
+Each page is parsed once, into a table of its stream and blocks. All that follows are joins and sums over that table: of a
+site its streams, kinds of block and recurring texts are counted before any shuffle, wrappers are inferred from ranges of a
+site's streams and then merged, and each stream is placed in the merged wrapper by itself, so no task holds a whole site.
 """
 
 from __future__ import annotations
 
-import pickle
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import pairwise
-from typing import Any
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvflow.session import materialise, parallel
+from kvflow.session import bounded, materialise, parallel
 
 # How pieces are cut, as the result's definition has it; the elements of HTML by their role.
 CUT = re.compile(r"(<[^>]*>)")
 BLANKS = re.compile(r"[\t\n\f\r ]+")
+SPACES = "\t\n\f\r "
 BLOCKS = frozenset(
     "html head body title style script noscript nav main article section aside header footer div p ul ol li dl dt dd table thead tbody tfoot tr td th "
     "h1 h2 h3 h4 h5 h6 blockquote pre form fieldset figure figcaption button select textarea iframe center address details summary dialog".split()
@@ -40,7 +40,8 @@ BLOCKS = frozenset(
 VOID = frozenset("br img hr meta link input area base col embed source track wbr".split())
 RAW = frozenset("script style textarea iframe noscript".split())
 CLOSES_P = BLOCKS - frozenset("button select html head body title style script td th tr tbody thead tfoot li dt dd noscript textarea".split())
-SIDE = frozenset("h4 h5 h6 button select".split())
+SUBHEADINGS = frozenset("h4 h5 h6".split())
+SIDE = SUBHEADINGS | frozenset("button select".split())
 #: Elements that show nothing or are no part of the layout.
 HIDDEN = frozenset("script style title noscript textarea iframe comment".split())
 SCOPES = frozenset("td th table div article main aside nav section body".split())
@@ -55,6 +56,8 @@ STOPS = re.compile(r"[.!?。！？]+")
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|width|colspan)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORDS = re.compile(r"[㐀-鿿]|\w+")
+#: Numbers of records in classes and ids (post-4711), which differ from page to page. Generated names are a site's own and stay.
+SERIAL = re.compile(r"(?<![a-z0-9])[0-9]{3,}(?![a-z0-9])")
 
 #: Texts of more words tell a page's content.
 SHORT_WORDS = 30
@@ -81,9 +84,12 @@ BODY_SHARE = 0.25
 FOREIGN_SHARE = 0.1
 #: A stream is foreign to a site if more than this part of its landmarks is rare there.
 FOREIGN_MARKS = 0.5
-#: Bytes up to which the wrappers of all sites are broadcast; larger ones are joined to the pages by site.
-BROADCAST_BYTES = 48 << 20
+#: A landmark on a smaller share of a site's blocks is no part of the site's wrapper, which bounds the wrapper's length.
+WRAPPER_SHARE = 0.001
+#: Body cells and template texts, 8 bytes each, up to which they are broadcast; more are joined by shuffle.
+BROADCAST_KEYS = 4_000_000
 _tags: dict[str, tuple[str, str, str]] = {}
+_marks: dict[tuple[str, str, str], str] = {}
 
 
 def site(url: Column) -> Column:
@@ -93,7 +99,9 @@ def site(url: Column) -> Column:
 
 
 def _tag(tag: str) -> tuple[str, str, str]:
-    """(what, name, key) of a tag: what is open, close, void, inline, end (of an inline element) or none."""
+    """(what, name, key) of a tag: what is open, close, void, inline, end (of an inline element), comment or none."""
+    if tag.startswith("<!--"):
+        return "comment", "", ""
     known = _tags.get(tag)
     if known:
         return known
@@ -106,9 +114,10 @@ def _tag(tag: str) -> tuple[str, str, str]:
         what = "void"
     elif name in BLOCKS:
         what = "close" if tag[1] == "/" else "open"
-        for attribute, *values in ATTRIBUTE.findall(tag):
-            if name != "body" and name != "html":
-                key += {"class": ".", "id": "#", "role": "@"}.get(attribute.lower(), ":") + "".join(values).strip().lower()
+        if name != "body" and name != "html" and "=" in tag:
+            for attribute, *values in ATTRIBUTE.findall(tag):
+                attribute, value = attribute.lower(), "".join(values).strip().lower()
+                key += {"class": ".", "id": "#", "role": "@"}.get(attribute, ":") + (SERIAL.sub("0", value) if attribute in ("class", "id") else value)
     else:
         what = "end" if tag[1] == "/" else "inline"
         key = "s" if name == "span" and "class" not in tag.lower() else name
@@ -119,7 +128,7 @@ def _tag(tag: str) -> tuple[str, str, str]:
 
 
 class Block:
-    __slots__ = ("breaks", "chain", "ended", "hidden", "key", "linked", "mark", "parts", "path", "pieces", "running", "shown", "spanned", "tail", "text", "words")
+    __slots__ = ("breaks", "cell", "chain", "ended", "hidden", "key", "linked", "mark", "parts", "path", "pieces", "running", "shown", "spanned", "tail", "text", "words")
 
     def __init__(self, path: str, tail: str, chain: tuple[int, ...]):
         self.path, self.tail, self.chain = path, tail, chain
@@ -150,13 +159,15 @@ def blocks(html: str) -> list[Block]:
     raw = ""
     comment = False
     links = spans = number = serial = 0
-    tags = _tags
+    known = _tags.get
+    # Only a box with a button needs to know what lies in it.
+    buttons = "utton" in html or "UTTON" in html
     parts = CUT.split(html)
     parts.append("")
-    for at in range(0, len(parts), 2):
-        text = parts[at].strip("\t\n\f\r ")
-        if text:
-            if "\n" in text or "  " in text or "\t" in text or "\r" in text or "\f" in text:
+    walk = iter(parts)
+    for text, tag in zip(walk, walk, strict=True):
+        if text and (text := text.strip(SPACES)):
+            if "  " in text or not text.isprintable():
                 text = BLANKS.sub(" ", text)
             if comment:
                 current = Block("comment", "comment", ())
@@ -164,7 +175,7 @@ def blocks(html: str) -> list[Block]:
                 comment = "-->" not in text
             elif current is None:
                 name, path, _ = stack[-1] if stack else ("", "", 0)
-                current = Block(path, name, tuple([e[2] for e in stack]))
+                current = Block(path, name, tuple([e[2] for e in stack]) if buttons else ())
                 out.append(current)
             current.pieces.append(number)
             current.parts.append(text)
@@ -181,23 +192,26 @@ def blocks(html: str) -> list[Block]:
                     current.ended += 1
             if current.tail == "comment":
                 current = None
-        tag = parts[at + 1]
         if not tag:
             continue
         if comment:
             comment = not tag.endswith("-->")
             continue
-        if tag.startswith("<!--"):
+        what, name, key = ("inline", "a", "a") if tag.startswith("<a ") else known(tag) or _tag(tag)
+        if what == "comment":
             comment = not tag.endswith("-->")
             continue
-        what, name, key = tags.get(tag) or _tag(tag)
         if raw:
             if what != "close" or name != raw:
                 continue
             raw = ""
-        if what == "void":
-            if name == "br" and current is not None:
-                current.breaks += 1
+        if what == "close":
+            current = None
+            links = spans = 0
+            if stack and stack[-1][0] == name:
+                stack.pop()
+            else:
+                _close(stack, (name,), ("table", "body") if name not in ("table", "body", "html") else ())
         elif what == "inline":
             links += name == "a"
             spans += key == "s"
@@ -223,13 +237,12 @@ def blocks(html: str) -> list[Block]:
             above = stack[-1][1] if stack else ""
             serial += 1
             stack.append((name, above if name in ("html", "body") else f"{above}>{key}" if above else key, serial))
-        elif what == "close":
-            current = None
-            links = spans = 0
-            _close(stack, (name,), ("table", "body") if name not in ("table", "body", "html") else ())
+        elif name == "br" and current is not None:
+            current.breaks += 1
     for block in out:
         _shape(block)
-    _notices(out)
+    if buttons:
+        _notices(out)
     return out
 
 
@@ -270,7 +283,10 @@ def _shape(block: Block) -> None:
             kind = "~c"
     block.key = block.path + kind
     block.hidden = tail in HIDDEN
-    block.mark = _landmark(block.path, tail, kind) if kind or tail in SIDE else ""
+    block.mark = ""
+    if kind or tail in SIDE:
+        at = (block.path, tail, kind)
+        block.mark = _marks.get(at) or _landmark(*at)
     block.running = not block.hidden and not block.mark and total >= RUNNING_WORDS
 
 
@@ -285,22 +301,30 @@ def _landmark(path: str, tail: str, kind: str) -> str:
         steps.pop()
     while steps and _element(steps[-1]) in ("ul", "ol", "li", "dl", "dt", "dd"):
         steps.pop()
-    return ">".join(steps) + (kind if kind == "~c" else "~")
+    if len(_marks) > 50_000:
+        _marks.clear()
+    _marks[path, tail, kind] = mark = ">".join(steps) + (kind if kind == "~c" else "~")
+    return mark
 
 
-def stream(page: list[Block]) -> tuple[tuple[str, ...], list[list[Block]]]:
-    """The page's landmarks, with repetitions folded, and the blocks in the slots before, between and behind them."""
+def stream(page: list[Block]) -> tuple[list[str], list[tuple[int, Block]]]:
+    """The page's landmarks, with repetitions folded, and its shown blocks: text blocks with their slot (slot i lies before
+    landmark i), landmarks with their number."""
     marks: list[str] = []
-    slots: list[list[Block]] = [[]]
+    placed: list[tuple[int, Block]] = []
+    fresh = True
     for block in page:
         if block.hidden:
             continue
         if not block.mark:
-            slots[-1].append(block)
-        elif slots[-1] or not marks or marks[-1] != block.mark:
+            placed.append((len(marks), block))
+            fresh = True
+            continue
+        if fresh or marks[-1] != block.mark:
             marks.append(block.mark)
-            slots.append([])
-    return tuple(marks), slots
+            fresh = False
+        placed.append((len(marks) - 1, block))
+    return marks, placed
 
 
 def _hash(text: str) -> int:
@@ -329,34 +353,8 @@ def _contents(page: list[Block]) -> Callable[[Block], int]:
     return content
 
 
-STATS = "kind int, site string, marks binary, slot int, key string, a bigint, b bigint, c bigint"
-
-
-def _first_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each batch: sums per site, stream, slot and kind of block; different texts per site and content."""
-    for batch in batches:
-        sums: dict[tuple[str, bytes, int, str], np.ndarray] = {}
-        texts: set[tuple[str, int, str, int, int]] = set()
-        for name, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            page = blocks(html)
-            marks, slots = stream(page)
-            name_of_marks = "\n".join(marks).encode("utf-8", "replace")
-            content = _contents(page)
-            for i, slot in enumerate(slots):
-                for block in slot:
-                    at = (name, name_of_marks, i, block.key)
-                    if at not in sums:
-                        sums[at] = np.zeros(2, np.int64)
-                    sums[at] += (1, min(block.words, COUNTED_WORDS) if block.running else 0)
-                    if not _may_repeat(block):
-                        texts.add((name, int(block.words > SHORT_WORDS), block.key, _hash(block.text), content(block)))
-            if not any(slots):
-                sums.setdefault((name, name_of_marks, 0, ""), np.zeros(2, np.int64))
-        rows = [(0, n, m, i, k, int(v[0]), int(v[1]), 0) for (n, m, i, k), v in sums.items()]
-        rows += [(1, n, None, i, k, t, c, 0) for n, i, k, t, c in texts]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 8
-        types = [pa.int32(), pa.string(), pa.binary(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kind", "site", "marks", "slot", "key", "a", "b", "c"])
+BLOCK = "slot:int,key:string,cell:bigint,other:bigint,text:bigint,content:bigint,words:int,repeats:boolean,long:boolean,mark:boolean,first:int,n:int"
+_BLOCK_TYPES = {"int": pa.int32(), "string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
 
 
 def _may_repeat(block: Block) -> bool:
@@ -364,28 +362,104 @@ def _may_repeat(block: Block) -> bool:
     return block.tail in NEVER_TEMPLATE
 
 
-def align(wrapper: list[str], marks: tuple[str, ...]) -> list[tuple[int, int]]:
-    """Pairs of equal places of the wrapper and a stream: a longest common subsequence, the earliest of several."""
+def _above(path: str) -> str:
+    return path.rpartition(">")[0]
+
+
+def _beside(at: int, block: Block, slots: dict[int, list[Block]]) -> tuple[Block, Block] | None:
+    """Text blocks before and behind a landmark that it may belong with: of its own path, or under a subheading of their element."""
+    if block.tail in SUBHEADINGS:
+        above = _above(block.path)
+        fits = lambda b: b.running and _above(b.path) == above
+    elif block.tail not in SIDE:
+        fits = lambda b: b.key == block.path
+    else:
+        return None
+    before = next((b for b in reversed(slots.get(at, ())) if fits(b) or block.tail in SUBHEADINGS and b.tail in HEADINGS and _above(b.path) == _above(block.path)), None)
+    behind = next((b for b in slots.get(at + 1, ()) if fits(b)), None)
+    return (before, behind) if before and behind else None
+
+
+def parsed(pages: DataFrame, with_text: bool) -> DataFrame:
+    """One row per page (id, site, html): (page, id, site, home, stream, marks, n_blocks, blocks), as a table.
+
+    cell is the number of a kind of block in a slot of a stream of a site; other is that of the text before a landmark, whose
+    cell is that of the text behind it. Texts are kept only where they are wanted.
+    """
+    names = [f.split(":") for f in BLOCK.split(",")] + ([["body", "string"]] if with_text else [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            found: list[tuple] = []
+            ends = [0]
+            for key, name, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                page = blocks(html)
+                marks, placed = stream(page)
+                home, number = _hash(name), _hash("\n".join(marks))
+                content = _contents(page)
+                slots: dict[int, list[Block]] = {}
+                for slot, block in placed:
+                    if not block.mark:
+                        slots.setdefault(slot, []).append(block)
+                        block.cell = _hash(f"{home} {number} {slot} {block.key}")
+                for slot, block in placed:
+                    if block.mark:
+                        near = _beside(slot, block, slots)
+                        if near is None:
+                            continue
+                        cell, other = near[1].cell, near[0].cell
+                    else:
+                        cell, other = block.cell, None
+                    words = min(block.words, COUNTED_WORDS) if block.running else 0
+                    row = (slot, block.key, cell, other, _hash(block.text), content(block), words, block.tail in NEVER_TEMPLATE, block.words > SHORT_WORDS, bool(block.mark), block.pieces[0], len(block.pieces))
+                    found.append((*row, block.text) if with_text else row)
+                ends.append(len(found))
+                rows.append((key, name, home, number, marks, sum(map(len, slots.values()))))
+            columns = list(zip(*found, strict=True)) if found else [()] * len(names)
+            fields = [pa.array(c, _BLOCK_TYPES[kind]) for c, (_, kind) in zip(columns, names, strict=True)]
+            structs = pa.StructArray.from_arrays(fields, names=[n for n, _ in names])
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int32()]
+            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)], names=["id", "site", "home", "stream", "marks", "n_blocks", "blocks"])
+
+    inner = ",".join(f"{n}:{k}" for n, k in names)
+    schema = f"id bigint, site string, home bigint, stream bigint, marks array<string>, n_blocks int, blocks array<struct<{inner}>>"
+    made = pages.select("id", "site", "html").mapInArrow(run, schema)
+    return materialise(made.select(F.monotonically_increasing_id().alias("page"), "*"), "pages")
+
+
+def align(wrapper: Sequence[str], marks: Sequence[str]) -> list[tuple[int, int]]:
+    """Pairs of equal places of the wrapper and a stream: a longest common subsequence, the earliest of several.
+
+    The table of lengths is kept as one number a row, whose bits say where the length grows (Crochemore et al., 2001).
+    """
     n, m = len(wrapper), len(marks)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if wrapper[i] == marks[j] else max(below[j], row[j + 1])
+    where: dict[str, int] = defaultdict(int)
+    for i, mark in enumerate(wrapper):
+        where[mark] |= 1 << (n - 1 - i)
+    every = (1 << n) - 1
+    rows = [every] * (m + 1)
+    for j in range(m - 1, -1, -1):
+        row = rows[j + 1]
+        hit = row & where.get(marks[j], 0)
+        rows[j] = ((row + hit) | (row - hit)) & every
+    length = lambda i, j: n - i - (rows[j] & ((1 << (n - i)) - 1)).bit_count()
     out, i, j = [], 0, 0
     while i < n and j < m:
         if wrapper[i] == marks[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+        elif length(i + 1, j) >= length(i, j + 1):
             i += 1
         else:
             j += 1
     return out
 
 
-def infer(streams: list[tuple[str, ...]]) -> list[str]:
-    """The wrapper of a site: its landmarks in order. Each stream is aligned to it, and what it lacks is put in as optional."""
+def infer(streams: Iterable[Sequence[str]]) -> list[str]:
+    """The wrapper of streams, or of wrappers: its landmarks in order. Each is aligned to it, and what it lacks is put in as optional."""
     wrapper: list[str] = []
     for marks in streams:
         pairs = [(-1, -1), *align(wrapper, marks), (len(wrapper), len(marks))]
@@ -398,38 +472,84 @@ def infer(streams: list[tuple[str, ...]]) -> list[str]:
     return wrapper
 
 
-def _candidates(wrapper: list[str], marks: tuple[str, ...]) -> list[range]:
-    """For each slot of a stream the slots of the wrapper that it may be."""
-    place = dict((j, i) for i, j in align(wrapper, marks))
-    edges = [-1, *(place[j] for j in range(len(marks))), len(wrapper)]
-    return [range(a + 1, b + 1) for a, b in pairwise(edges)]
+def candidates(wrapper: Sequence[str], marks: Sequence[str], kept: Sequence[bool]) -> list[tuple[int, int]]:
+    """For each slot of a stream the first and last slot of the wrapper that it may be. Only kept landmarks are in the wrapper."""
+    own = [j for j, k in enumerate(kept) if k]
+    place = {own[j]: i for i, j in align(wrapper, [marks[j] for j in own])}
+    before, at = [0], 0
+    for j in range(len(marks)):
+        at = place[j] + 1 if j in place else at
+        before.append(at)
+    behind, at = [len(wrapper)], len(wrapper)
+    for j in range(len(marks) - 1, -1, -1):
+        at = place.get(j, at)
+        behind.append(at)
+    return list(zip(before, reversed(behind), strict=True))
+
+
+def _ordered(streams: Counter[tuple[str, ...]]) -> list[tuple[str, ...]]:
+    """Usual streams first, of these the fullest: they have the optional landmarks in their order."""
+    usual = USUAL_SHARE * sum(streams.values())
+    return sorted(streams, key=lambda m: (streams[m] < usual, -len(m) if streams[m] >= usual else 0, -streams[m], m))
+
+
+WRAPPER = "site string, a bigint, wrapper array<string>"
 
 
-def site_verdicts(rows: pd.DataFrame, template_keys: set[str]) -> list[bool]:
-    """For each row whether its kind of block belongs to the body in that slot of that stream.
+def _range_wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One wrapper for each site of a partition that is sorted by site (site, kept marks, a)."""
+    streams: Counter[tuple[str, ...]] = Counter()
+    site: str | None = None
 
-    rows: marks, slot, key, a (blocks), b (words of running text) of one site.
+    def made() -> pa.RecordBatch:
+        arrays = [pa.array([site], pa.string()), pa.array([streams.total()], pa.int64()), pa.array([infer(_ordered(streams))], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(arrays, names=["site", "a", "wrapper"])
+
+    for batch in batches:
+        for name, marks, a in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if name != site:
+                if site is not None:
+                    yield made()
+                streams.clear()
+                site = name
+            streams[tuple(marks)] += a
+    if site is not None:
+        yield made()
+
+
+def _merged(group: pd.DataFrame) -> pd.DataFrame:
+    """The wrapper of a site from those of its ranges, of which there are at most as many as partitions."""
+    streams: Counter[tuple[str, ...]] = Counter()
+    for wrapper, a in zip(group["wrapper"], group["a"], strict=True):
+        streams[tuple(wrapper)] += int(a)
+    return pd.DataFrame({"site": group["site"].iloc[:1], "a": [streams.total()], "wrapper": [infer(_ordered(streams))]})
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        loaded: dict[str, list[str]] = {}
+        ranges = []
+        for site, marks, kept, wrapper in zip(batch.column(0).to_pylist(), *(batch.column(i).to_pylist() for i in (2, 3, 5)), strict=True):
+            ranges.append(candidates(loaded.setdefault(site, wrapper), marks, kept))
+        slots = [pa.array([[r[i] for r in found] for found in ranges], pa.list_(pa.int32())) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 2, 4)), *slots], names=["site", "stream", "marks", "foreign", "los", "his"])
+
+
+def site_verdicts(rows: pd.DataFrame) -> list[bool]:
+    """For each row whether its kind of block belongs to the body in those slots of the wrapper.
+
+    rows: lo, hi (slots of the wrapper), key, b (words of running text), fixed (template) of one site.
     """
-    streams: Counter[bytes] = Counter()
-    for marks, a in zip(rows["marks"], rows["a"], strict=True):
-        streams[marks] += int(a)
-    split = {m: tuple(m.decode("utf-8").split("\n")) if m else () for m in streams}
-    # Usual streams first, of these the fullest: they have the optional landmarks in their order.
-    usual = USUAL_SHARE * sum(streams.values())
-    order = sorted(streams, key=lambda m: (streams[m] < usual, -len(split[m]) if streams[m] >= usual else 0, -streams[m], m))
-    wrapper = infer([split[m] for m in order])
-    may_be = {m: _candidates(wrapper, split[m]) for m in streams}
-    cells = list(zip(rows["marks"], rows["slot"].astype(int), rows["key"], rows["b"].astype(float), strict=True))
+    cells = sorted(zip(rows["lo"], rows["hi"], rows["key"], rows["b"].astype(float), rows["fixed"], strict=True), key=lambda r: (r[0] != r[1], *r[:3]))
     mass: dict[int, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-    for certain in (True, False):
-        for m, slot, key, words in cells:
-            slots = may_be[m][slot]
-            if certain == (len(slots) == 1) and key not in template_keys:
-                # A slot that several may be is the one of them that holds most of this kind of block.
-                mass[max(slots, key=lambda s: (mass[s].get(key, 0.0), -s))][key] += words
+    for lo, hi, key, words, fixed in cells:
+        if not fixed and (lo == hi or words):
+            # A slot that several may be is the one of them that holds most of this kind of block.
+            held = [s for s in mass if lo <= s <= hi] if hi > lo else [lo]
+            mass[max(held, key=lambda s: (mass[s].get(key, 0.0), -s), default=lo)][key] += words
     weight = {s: sum(keys.values()) for s, keys in mass.items()}
     most = max(weight.values(), default=0.0)
-    bodies = {s for s, n in weight.items() if n >= BODY_SHARE * most}
+    bodies = sorted(s for s, n in weight.items() if n >= BODY_SHARE * most)
     whole: Counter[str] = Counter()
     inner: Counter[str] = Counter()
     for s, keys in mass.items():
@@ -438,134 +558,96 @@ def site_verdicts(rows: pd.DataFrame, template_keys: set[str]) -> list[bool]:
             inner.update(keys)
     # Kinds of block whose element is their own belong to the body wherever they stand.
     own = {k for k, n in inner.items() if n > 0 and n >= 0.9 * whole[k] and re.search(r"[>.#@]", k)}
-    return [key not in template_keys and (key in own or not bodies.isdisjoint(may_be[m][slot])) for m, slot, key, _ in cells]
+    some = lambda lo, hi: bisect_left(bodies, lo) < bisect_right(bodies, hi)
+    return [not fixed and (key in own or some(lo, hi)) for lo, hi, key, fixed in zip(rows["lo"], rows["hi"], rows["key"], rows["fixed"], strict=True)]
+
+
+def _judge(group: pd.DataFrame) -> pd.DataFrame:
+    return group[["site", "lo", "hi", "key"]].assign(body=site_verdicts(group))
 
 
-def foreign_judged(own: DataFrame) -> DataFrame:
-    """(site, marks, slot, key, a, body) with the body of foreign streams judged as where they are at home.
+def placed_streams(streams: DataFrame) -> DataFrame:
+    """(site, stream, marks, foreign, los, his) of streams (site, stream, marks, a): the slots of its site's wrapper that each slot may be.
 
-    Pages of other sites stand under a site's name too, and records without a site are of all. Their streams, whose landmarks
-    are rare on the site but usual on another, get the votes of the streams that are not foreign: in the same slot of the same
-    stream, else between the same landmarks, else of the same kind of block. Without a vote, and in all other streams, the
-    site's own verdict stands.
+    A stream is foreign to a site if its landmarks are rare there but usual on another site, or if there is no site.
     """
-    marks = F.split(F.decode("marks", "UTF-8"), "\n")
-    streams = own.groupBy("site", "marks").agg(F.sum("a").alias("a")).where("a > 0")
-    split = streams.select("site", "marks", "a", F.explode(F.array_distinct(marks)).alias("mark"))
+    split = streams.select("site", "stream", "a", F.explode(F.array_distinct("marks")).alias("mark"))
     totals = streams.groupBy("site").agg(F.sum("a").alias("total"))
     shares = split.groupBy("site", "mark").agg(F.sum("a").alias("a")).join(totals, "site").select("site", "mark", (F.col("a") / F.col("total")).alias("share"))
     shares = shares.join(shares.groupBy("mark").agg(F.max("share").alias("most")), "mark")
     rare = F.avg((F.col("share") < FOREIGN_SHARE * F.col("most")).cast("int"))
-    foreign = split.join(shares, ["site", "mark"]).groupBy("site", "marks").agg(rare.alias("rare"))
-    foreign = foreign.where((F.col("rare") > FOREIGN_MARKS) | (F.col("site") == "")).select("site", "marks", F.lit(True).alias("foreign"))
-    edges = F.concat(F.array(F.lit("^")), marks, F.array(F.lit("$")))
+    usual = F.collect_list(F.when(F.col("share") >= WRAPPER_SHARE, F.col("mark")))
+    seen = split.join(shares, ["site", "mark"]).groupBy("site", "stream").agg(rare.alias("rare"), usual.alias("usual"))
+    foreign = F.coalesce((F.col("rare") > FOREIGN_MARKS) | (F.col("site") == ""), F.lit(False))
+    kept = F.transform("marks", lambda m: F.array_contains(F.coalesce("usual", F.array().cast("array<string>")), m))
+    known = streams.join(seen, ["site", "stream"], "left").select("site", "stream", "marks", kept.alias("kept"), foreign.alias("foreign"), "a")
+    known = materialise(known, "streams")
+    ranged = known.select("site", F.transform(F.filter(F.arrays_zip("marks", "kept"), lambda x: x["kept"]), lambda x: x["marks"]).alias("marks"), "a", "stream")
+    ranged = ranged.repartitionByRange("site", "stream").sortWithinPartitions("site", "stream").drop("stream")
+    wrappers = ranged.mapInArrow(_range_wrappers, WRAPPER).groupBy("site").applyInPandas(_merged, WRAPPER)
+    rows = known.join(wrappers.select("site", "wrapper"), "site").select("site", "stream", "marks", "kept", "foreign", "wrapper")
+    return rows.mapInArrow(_place, "site string, stream bigint, marks array<string>, foreign boolean, los array<int>, his array<int>")
+
+
+def body_cells(cells: DataFrame) -> DataFrame:
+    """(cell) of the body, of cells (site, stream, slot, key, cell, a, marks, foreign, body).
+
+    Pages of other sites stand under a site's name too, and records without a site are of all. Their streams get the votes of
+    the streams that are not foreign: in the same slot of the same stream, else between the same landmarks, else of the same
+    kind of block. Without a vote, and in all other streams, the site's own verdict stands.
+    """
+    edges = F.concat(F.array(F.lit("^")), F.col("marks"), F.array(F.lit("$")))
     slot = F.col("slot")
-    cells = own.join(foreign, ["site", "marks"], "left").withColumns({"before": F.element_at(edges, slot + 1), "after": F.element_at(edges, slot + 2)})
-    cells = materialise(cells, "streams")
-    home, out = cells.where("foreign IS NULL"), cells.where("foreign")
-    for vote, by in (("same", ["marks", "slot", "key"]), ("between", ["before", "after", "key"]), ("kind", ["key"])):
+    home = cells.where("NOT foreign").withColumns({"before": F.element_at(edges, slot + 1), "after": F.element_at(edges, slot + 2)})
+    out = cells.where("foreign").withColumns({"before": F.element_at(edges, slot + 1), "after": F.element_at(edges, slot + 2)})
+    for vote, by in (("same", ["stream", "slot", "key"]), ("between", ["before", "after", "key"]), ("kind", ["key"])):
         votes = home.groupBy(by).agg((2 * F.sum(F.when(F.col("body"), F.col("a")).otherwise(0)) > F.sum("a")).alias(vote))
         out = out.join(votes, by, "left")
-    kept = ["site", "marks", "slot", "key", "a"]
-    return home.select(*kept, "body").union(out.select(*kept, F.coalesce("same", "between", "kind", "body").alias("body")))
-
-
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(site, model BINARY) of pages (site, html): one row per site, inferred from all its pages."""
-    seen = materialise(pages.select("site", "html").mapInArrow(_first_scan, STATS), "pages")
-    streams = seen.where("kind = 0").groupBy("site", "marks", "slot", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    texts = seen.where("kind = 1").select("site", "slot", "key", F.col("a").alias("text"), F.col("b").alias("content")).distinct()
-    # Different contents of each text of a site, and sites of each text.
-    per_text = texts.groupBy("site", "key", "text").agg(F.count("*").alias("n"))
-    # Long texts, of slot 1, see a page's content without themselves, so they count only where a site has no others.
-    contents = texts.groupBy("site", "content").agg(F.min("slot").alias("slot")).groupBy("site").agg(F.coalesce(F.nullif(F.count_if(F.col("slot") == 0), F.lit(0)), F.count("*")).alias("contents"))
-    sites = per_text.groupBy("text").agg(F.count_distinct("site").alias("sites"), F.sum("n").alias("everywhere"))
-    judged = per_text.join(contents, "site").join(sites, "text")
-    often = (F.col("n") >= TEMPLATE_PAGES) & (F.col("n") >= TEMPLATE_SHARE * F.col("contents")) | (
-        (F.col("sites") >= TEMPLATE_SITES) & (F.col("everywhere") >= TEMPLATE_PAGES * F.col("sites"))
-    )
-    judged = judged.withColumn("template", often)
-    fixed = judged.where("template").select("site", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("marks"), F.lit(0).alias("slot"), "key", F.col("text").alias("a"), F.lit(0).cast("bigint").alias("b"))
-    fixed_n = judged.where("template").groupBy("site", "key").agg(F.sum("n").alias("fixed_n"))
-    keys = streams.groupBy("site", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).join(fixed_n, ["site", "key"])
-    some = (F.col("fixed_n") >= TEMPLATE_BLOCKS * F.col("a")) & (F.col("b") < TEMPLATE_WORDS * F.col("a"))
-    keys = keys.where(some | (F.col("fixed_n") >= TEMPLATE_NEARLY_ALL * F.col("a")))
-    keys = keys.select("site", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("marks"), F.lit(0).alias("slot"), "key", "a", "b")
-    rows = streams.select("site", F.lit(0).alias("kind"), "marks", "slot", "key", "a", "b").union(keys)
-
-    def judge(group: pd.DataFrame) -> pd.DataFrame:
-        cells = group[group["kind"] == 0]
-        made = site_verdicts(cells, set(group["key"][group["kind"] == 2]))
-        return cells[["site", "marks", "slot", "key", "a"]].assign(body=made)
-
-    own = materialise(rows.groupBy("site").applyInPandas(judge, "site string, marks binary, slot int, key string, a bigint, body boolean"), "verdicts")
-    final = foreign_judged(own).where("body")
-    final = final.select("site", F.lit(0).alias("kind"), "marks", "slot", "key", "a", F.lit(0).cast("bigint").alias("b")).union(fixed)
-
-    def model(group: pd.DataFrame) -> pd.DataFrame:
-        made: dict[bytes, dict[int, set[str]]] = defaultdict(lambda: defaultdict(set))
-        for kind, marks, slot, key in zip(group["kind"], group["marks"], group["slot"], group["key"], strict=True):
-            if kind == 0:
-                made[bytes(marks)][int(slot)].add(key)
-        texts = np.unique(group["a"][group["kind"] == 1].to_numpy(np.int64))
-        frozen = {m: {s: frozenset(k) for s, k in slots.items()} for m, slots in made.items()}
-        return pd.DataFrame({"site": group["site"].iloc[:1], "model": [pickle.dumps((frozen, texts.tobytes()))]})
-
-    return final.groupBy("site").applyInPandas(model, "site string, model binary")
-
-
-Model = tuple[dict[bytes, dict[int, frozenset[str]]], frozenset[int]]
-
-
-def _load(data: bytes | None) -> Model:
-    if not data:
-        return {}, frozenset()
-    made, texts = pickle.loads(data)
-    return made, frozenset(np.frombuffer(texts, np.int64).tolist())
-
-
-def body(html: str, model: Model) -> list[Block]:
-    """The blocks of a page's body by the model of its site."""
-    made, texts = model
-    marks, slots = stream(blocks(html))
-    chosen = made.get("\n".join(marks).encode("utf-8", "replace"), {})
-    out = []
-    for i, slot in enumerate(slots):
-        keys = chosen.get(i)
-        if keys:
-            out += [b for b in slot if b.key in keys and (_may_repeat(b) or _hash(b.text) not in texts)]
-    return out
+    return home.where("body").select("cell").union(out.where(F.coalesce("same", "between", "kind", "body")).select("cell"))
 
 
-def with_bodies(pages: DataFrame, models: DataFrame, make: Callable[[Any, list[Block]], Any], schema: str, build: Callable[[list[Any]], pa.RecordBatch]) -> DataFrame:
-    """For pages (id, site, html): build([...make(id, body blocks)...]) per batch, as rows of the schema.
-
-    Models are broadcast while they are small together; beyond BROADCAST_BYTES each page gets its site's by a join, whose
-    skewed sites Spark splits.
-    """
-    spark = pages.sparkSession
-    size = models.agg(F.sum(F.octet_length("model"))).first()[0] or 0
-    shipped = None
-    if size <= BROADCAST_BYTES:
-        shipped = spark.sparkContext.broadcast({r.site: bytes(r.model) for r in models.collect()})
-        rows = pages.select("id", "site", "html")
-    else:
-        rows = pages.select("id", "site", "html").join(models, "site", "left").select("id", "site", "html", "model")
+Model = tuple[DataFrame, DataFrame]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded: dict[str, Model] = {}
-        for batch in batches:
-            found = []
-            joined = batch.column(3) if shipped is None else None
-            for i, (key, name, html) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
-                if name not in loaded:
-                    if len(loaded) > 2_000:
-                        loaded.clear()
-                    loaded[name] = _load(shipped.value.get(name) if shipped is not None else joined[i].as_py())
-                found.append(make(key, body(html, loaded[name])))
-            yield build(found)
 
-    return rows.mapInArrow(run, schema)
+def model(seen: DataFrame) -> Model:
+    """((cell), (fixed)) of parsed pages, as tables: the cells of the bodies, and the template texts as text XOR home."""
+    each = seen.select("site", "home", "stream", F.inline("blocks"))
+    texts = each.where("NOT repeats").select("site", "home", "mark", "long", "key", "text", "content").distinct()
+    # Different contents of each text of a site, and sites of each text.
+    per_text = texts.groupBy("site", "home", "key", "text").agg(F.count("*").alias("n"))
+    # Long texts see a page's content without themselves, so they count only where a site has no others.
+    contents = texts.where("NOT mark").groupBy("site", "content").agg(F.min("long").alias("long")).groupBy("site").agg(F.coalesce(F.nullif(F.count_if(~F.col("long")), F.lit(0)), F.count("*")).alias("contents"))
+    per_text = materialise(per_text.join(contents, "site"), "texts")
+    sites = per_text.groupBy("text").agg(F.count_distinct("site").alias("sites"), F.sum("n").alias("everywhere")).where((F.col("sites") >= TEMPLATE_SITES) & (F.col("everywhere") >= TEMPLATE_PAGES * F.col("sites")))
+    often = (F.col("n") >= TEMPLATE_PAGES) & (F.col("n") >= TEMPLATE_SHARE * F.col("contents"))
+    judged = materialise(per_text.join(sites.select("text", F.lit(True).alias("known")), "text", "left").where(often | F.col("known")).select("site", "key", "n", F.col("text").bitwiseXOR(F.col("home")).alias("fixed")), "templates")
+
+    counted = each.where("NOT mark").groupBy("site", "stream", "slot", "key", "cell").agg(F.count("*").alias("a"), F.sum("words").cast("bigint").alias("b"))
+    streams = seen.groupBy("site", "stream", "marks").agg(F.sum("n_blocks").alias("a")).where("a > 0")
+    placed = placed_streams(streams)
+    at = lambda name: F.get(F.col(name), F.col("slot"))
+    cells = materialise(counted.join(placed, ["site", "stream"]).withColumns({"lo": at("los"), "hi": at("his")}).drop("los", "his"), "cells")
+    fixed_n = judged.groupBy("site", "key").agg(F.sum("n").alias("fixed_n"))
+    sums = cells.groupBy("site", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).join(fixed_n, ["site", "key"])
+    some = (F.col("fixed_n") >= TEMPLATE_BLOCKS * F.col("a")) & (F.col("b") < TEMPLATE_WORDS * F.col("a"))
+    keys = sums.where(some | (F.col("fixed_n") >= TEMPLATE_NEARLY_ALL * F.col("a"))).select("site", "key", F.lit(True).alias("fixed"))
+    # What a site's verdict is made of is bounded by its wrapper and kinds of block, however many pages and streams it has.
+    masses = cells.groupBy("site", "lo", "hi", "key").agg(F.sum("b").alias("b")).join(keys, ["site", "key"], "left").na.fill({"fixed": False})
+    verdicts = masses.groupBy("site").applyInPandas(_judge, "site string, lo int, hi int, key string, body boolean")
+    found = materialise(body_cells(materialise(cells.join(verdicts, ["site", "lo", "hi", "key"]), "verdicts")), "bodies")
+    return found, judged.select("fixed").distinct()
+
+
+def bodies(seen: DataFrame, found: Model) -> DataFrame:
+    """(page, id, first, n[, body]) of the blocks of all bodies. The model is broadcast where it is small, else joined by shuffle."""
+    cells, fixed = (bounded(t, BROADCAST_KEYS) for t in found)
+    each = seen.select("page", "id", "home", F.inline("blocks"))
+    each = each.join(cells, "cell", "left_semi")
+    # A landmark must stand between two blocks of the body.
+    both = each.where("mark").join(cells.withColumnRenamed("cell", "other"), "other", "left_semi")
+    recurs = (F.col("text").bitwiseXOR(F.col("home")) == F.col("fixed")) & ~F.col("repeats")
+    keep = ["page", "id", "first", "n", *(["body"] if "body" in each.columns else [])]
+    return each.where("NOT mark").select(each.columns).union(both.select(each.columns)).join(fixed, recurs, "left_anti").select(keep)
 
 
 def crawl_pages(records: DataFrame) -> DataFrame:
@@ -580,11 +662,6 @@ def main_pieces(records: DataFrame) -> DataFrame:
     * Null and empty html gives no rows; records without a usable URL share one wrapper and are judged as foreign to it. Records that repeat a page each get
       their rows. Other columns are not read; an empty table gives an empty result.
     """
-    pages = crawl_pages(records)
-
-    def build(found: list[tuple[int, list[int]]]) -> pa.RecordBatch:
-        ids = [key for key, numbers in found for _ in numbers]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([n for _, numbers in found for n in numbers], pa.int32())], names=["rec_id", "piece_no"])
-
-    models = materialise(wrappers(pages), "wrappers")
-    return with_bodies(pages, models, lambda key, found: (key, [n for b in found for n in b.pieces]), "rec_id bigint, piece_no int", build)
+    seen = parsed(crawl_pages(records), with_text=False)
+    found = bodies(seen, model(seen))
+    return found.select(F.col("id").alias("rec_id"), F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("piece_no"))

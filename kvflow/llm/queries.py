@@ -36,6 +36,11 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.class_links(table(spark, d, "crawl_records"))
 
 
+@query()
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(table(spark, d, "crawl_records"))
+
+
 _PERCENTILES = """
     WITH once AS (
         SELECT DISTINCT row_id, lower(trim(type)) AS type, strftime(DATE '1970-01-01' + (epoch_us(snapshot_at) // 86400000000)::INT, '%Y-%m-%d') AS day,
