@@ -22,6 +22,8 @@ BLOCK_TOKENS = 1024
 #: A shard is ordered by one task.
 SHARD_TOKENS = 32_000_000
 SEED = 20240229
+#: Sources that a mix may name; the driver apportions among them.
+TARGETS = 100_000
 
 
 def apportion(weights: Sequence[float], seats: int, caps: Sequence[int] | None = None) -> list[int]:
@@ -52,12 +54,16 @@ def apportion(weights: Sequence[float], seats: int, caps: Sequence[int] | None =
 def mix(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: int = SEED) -> DataFrame:
     """(doc_id, source, shard, block, n_tokens, repeats): the documents of the mix and how often each is used.
 
-    * The total is the largest at which every source can fill its target share within its max_repeats, so the shares hold
-      up to a block. Documents of other sources, without source or without tokens stay out.
-    * Targets are one row per source (the least of each column if there are several); a source with a null or no positive
-      share is not used. Without documents of a wanted source nothing can be mixed, and the result is empty.
+    * The total is the largest at which every source that has documents can fill its target share within its max_repeats, so
+      the shares hold up to a block. Documents of other sources, without source or without tokens stay out.
+    * Targets are one row per source (the least of each column if there are several), a list that people keep: more than
+      TARGETS rows raise. A source with a null or no positive share is not used. One without documents, or that may not be
+      used at all, can't be reached: the others keep their weights to each other, and shares() reports 0 for it.
     """
     goals = targets.groupBy("source").agg(F.min("target_share").alias("share"), F.min("max_repeats").alias("most")).where("share > 0 AND source IS NOT NULL")
+    listed = goals.limit(TARGETS + 1).collect()
+    if len(listed) > TARGETS:
+        raise ValueError(f"more than {TARGETS} sources to mix")
     sized = with_sizes(documents.select("doc_id", "source", "text").join(bounded(goals.select("source")), "source", "left_semi").select("doc_id", "source", "text"), "text")
     sized = materialise(sized.where("n_tokens > 0"), "sizes")
 
@@ -73,11 +79,12 @@ def mix(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKE
     blocks = placed.groupBy("source", "shard", "block").agg(F.sum("n_tokens").alias("tokens"))
     per_shard = materialise(blocks.groupBy("source", "shard").agg(F.count("*").alias("blocks"), F.sum("tokens").alias("tokens")), "shards")
     have = {r.source: r.tokens for r in per_shard.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
-    wanted = sorted(((r.source, r.share, r.most) for r in goals.collect()), key=lambda r: r[0])
+    # Sources that have something to give, with the most blocks that they can.
+    wanted = sorted((r.source, r.share, have.get(r.source, 0) * (r.most or 0) / block_tokens) for r in listed if have.get(r.source, 0) * (r.most or 0) > 0)
     total = sum(share for _, share, _ in wanted)
-    caps = [int(have.get(source, 0) * (most or 0) // block_tokens) for source, _, most in wanted]
-    seats = min((math.floor(cap * total / share) for (_, share, _), cap in zip(wanted, caps, strict=True)), default=0)
-    most_used = {source: most or 0 for source, _, most in wanted}
+    caps = [math.floor(most) for *_, most in wanted]
+    seats = min((math.floor(most * total / share) for _, share, most in wanted), default=0)
+    most_used = {r.source: r.most or 0 for r in listed}
     quotas = dict(zip((source for source, *_ in wanted), apportion([share for _, share, _ in wanted], seats, caps), strict=True))
 
     # A quota counts equal blocks; a shard's blocks are as many seats as their tokens make.

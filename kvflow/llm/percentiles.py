@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvflow.session import bounded, materialise
+from kvflow.session import bounded, discard, materialise
 
 #: Thousandths: the median, and the 90th, 99th and 99.9th percentile.
 PERMILLE = (500, 900, 990, 999)
@@ -58,10 +58,11 @@ def percentiles(cells: DataFrame, permille: Sequence[int] = PERMILLE, dropped_bi
     value is the least one that at least permille/1000 of the group's n rows do not exceed; the true one lies between value
     and value + error_bound. Equal values and few rows need no special care; an empty table gives an empty result.
     """
-    both = F.explode(F.array(F.col("day"), F.lit(ALL_DAYS)))
-    cells = cells.withColumn("scope", both)
+    # Made once; each pass reads this summary, whose size has the bound of summary(), and not the rows behind it.
+    kept = materialise(cells.select("type", "day", "value", "n"), "summary")
+    cells = kept.withColumn("scope", F.explode(F.array(F.col("day"), F.lit(ALL_DAYS))))
     wanted = F.explode(F.array(*[F.lit(p) for p in permille]))
-    active, left = None, BITS
+    active, made, left = None, None, BITS
     while left > dropped_bits:
         narrowed = max(dropped_bits, left - bits_a_pass)
         prefix, part = F.shiftright("value", left), F.shiftright("value", narrowed)
@@ -82,7 +83,11 @@ def percentiles(cells: DataFrame, permille: Sequence[int] = PERMILLE, dropped_bi
         active = active.withColumn("below", F.sum("n").over(upto) - F.col("n"))
         active = active.where((F.col("below") < F.col("rank")) & (F.col("rank") <= F.col("below") + F.col("n")))
         active = active.select("type", "scope", F.col("part").alias("prefix"), "total", "permille", (F.col("rank") - F.col("below")).alias("rank"))
-        active, left = materialise(active, "percentiles"), narrowed
+        before, active, left = made, materialise(active, "percentiles"), narrowed
+        made = active
+        if before is not None:
+            discard(before)
+    discard(kept)
     assert active is not None
     return active.select(
         "type", F.col("scope").alias("day"), "permille", F.col("total").alias("n"), F.shiftleft("prefix", left).alias("value"), F.lit((1 << left) - 1).cast("bigint").alias("error_bound")

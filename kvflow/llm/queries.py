@@ -89,6 +89,12 @@ def p4_terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.marked(terms.term_counts(table(spark, d, "key_values"))).drop("n_all")
 
 
+@query(_TERMS)
+def p4_spilled(spark: SparkSession, d: str) -> DataFrame:
+    """The same with buffers so small that all terms go through files, split by hash bits more than once."""
+    return terms.marked(terms.term_counts(table(spark, d, "key_values"), part_rows=500)).drop("n_all")
+
+
 @query()
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return pages.main_pieces(table(spark, d, "crawl_records"))

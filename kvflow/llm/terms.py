@@ -1,20 +1,23 @@
 """How often every distinct key and word occurs, by recursive radix spilling.
 
 Terms are hashed; the exchange partitions them by the hash, after each task has combined what it has of a term. A task that
-receives more than its buffer writes the terms by four bits of the hash to DuckDB tables on disk, splits a table that is
-still too large by the next four bits, and so on, and lets DuckDB aggregate each part.
+receives more than its buffer writes the terms by four bits of the hash to files, splits a file that is still too large by
+the next four bits, and so on, and lets DuckDB aggregate each part. The files lie in the shared folder, in whatever file
+system that is, and go with the task; what DuckDB itself spills of a part goes there too, where the folder is mounted.
 """
 
 from __future__ import annotations
 
-import shutil
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-from pathlib import Path
+from collections.abc import Iterable, Iterator
+from itertools import chain
+from typing import Any
 
 import duckdb
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,24 +53,13 @@ def occurrences(records: DataFrame, key: str, value: str) -> DataFrame:
     return rows.select(F.inline(cells)).select("field", "term", F.xxhash64("field", "term").alias("h"), "occ", "rec")
 
 
-@contextmanager
-def _database(folder: str | None, on_disk: bool = False) -> Iterator[duckdb.DuckDBPyConnection]:
-    """A DuckDB database, in memory or in a file. Whatever it spills goes into the folder, never to a place of its own; without
-    a folder that file calls reach it stays in memory."""
-    place = Path(folder) / f"terms-{uuid.uuid4().hex}" if folder else None
-    config = {"threads": 1, "preserve_insertion_order": "false", "temp_directory": str(place / "tmp") if place else ""}
-    if place:
-        config["memory_limit"] = MEMORY_LIMIT
-        place.mkdir(parents=True)
-    try:
-        with duckdb.connect(str(place / "spill.duckdb") if place and on_disk else ":memory:", config=config) as db:
-            yield db
-    finally:
-        if place:
-            shutil.rmtree(place, ignore_errors=True)
-
-
-def _combined(batches: Iterator[pa.RecordBatch], folder: str | None) -> Iterator[pa.RecordBatch]:
+def _database(folder: str) -> duckdb.DuckDBPyConnection:
+    """A DuckDB database in memory with a limit, which may spill into the folder where file calls reach it, and nowhere else."""
+    place = local_path(folder)
+    return duckdb.connect(":memory:", config={"threads": 1, "preserve_insertion_order": "false", "memory_limit": MEMORY_LIMIT, "temp_directory": f"{place}/kvflow-duckdb-{uuid.uuid4().hex}" if place else ""})
+
+
+def _combined(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     """Partial sums of a task's terms, at most COMBINE_ROWS rows at a time."""
     held, rows = [], 0
     with _database(folder) as db:
@@ -87,62 +79,93 @@ def _summed(db: duckdb.DuckDBPyConnection, part: pa.Table) -> Iterator[pa.Record
     db.unregister("part")
 
 
-def radix_sums(batches: Iterator[pa.RecordBatch], folder: str | None, part_rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
-    """Full sums of all terms in the batches. What exceeds part_rows goes to a DuckDB file in the folder, by hash bits.
-
-    Rows of one term are never separated, so the result does not depend on how far the parts were split.
-    """
-    held, rows = [], 0
+class Part:
+    """A file of terms that agree in the low bits of their hash."""
+
+    def __init__(self, place: tuple[fs.FileSystem, str]):
+        self.system, folder = place
+        self.path = f"{folder}/{uuid.uuid4().hex}.arrow"
+        self.rows, self.first, self.mixed = 0, None, False
+        self.sink: Any = None
+
+    def write(self, batch: pa.RecordBatch) -> None:
+        if not batch.num_rows:
+            return
+        if self.sink is None:
+            self.sink = self.system.open_output_stream(self.path)
+            self.writer = pa.ipc.new_stream(self.sink, SCHEMA, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            self.first = batch.column(2)[0].as_py()
+        self.rows += batch.num_rows
+        self.mixed = self.mixed or bool(pc.any(pc.not_equal(batch.column(2), self.first)).as_py())
+        self.writer.write_batch(batch)
+
+    def read(self) -> Iterator[pa.RecordBatch]:
+        if self.sink is None:
+            return
+        self.writer.close()
+        self.sink.close()
+        with self.system.open_input_stream(self.path) as source:
+            yield from pa.ipc.open_stream(source)
+        self.system.delete_file(self.path)
+
+
+def _split(batches: Iterable[pa.RecordBatch], bits: int, place: tuple[fs.FileSystem, str]) -> list[Part]:
+    """The batches as files by four bits of the hash."""
+    parts = [Part(place) for _ in range(1 << RADIX_BITS)]
     for batch in batches:
+        digit = (batch.column(2).to_numpy() >> bits) & ((1 << RADIX_BITS) - 1)
+        order = np.argsort(digit, kind="stable")
+        batch, edges = batch.take(pa.array(order)), np.searchsorted(digit[order], np.arange((1 << RADIX_BITS) + 1))
+        for part, at, end in zip(parts, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            part.write(batch.slice(at, end - at))
+    return parts
+
+
+def _sums_of(part: Part, bits: int, place: tuple[fs.FileSystem, str], db: duckdb.DuckDBPyConnection, part_rows: int) -> Iterator[pa.RecordBatch]:
+    if part.rows > part_rows and part.mixed and bits < 64:
+        for child in _split(part.read(), bits, place):
+            yield from _sums_of(child, bits + RADIX_BITS, place, db, part_rows)
+        return
+    # A part of one hash is summed piece by piece: its different terms are few.
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in part.read():
         held.append(batch)
         rows += batch.num_rows
-        if rows > part_rows:
-            break
-    else:
-        if held:
-            with _database(folder) as db:
-                yield from _summed(db, pa.Table.from_batches(held))
-        return
-    with _database(folder, on_disk=True) as db:
-        names = [f"p{i}" for i in range(1 << RADIX_BITS)]
-        for name in names:
-            db.execute(f"CREATE TABLE {name} (field VARCHAR, term VARCHAR, h BIGINT, occ BIGINT, rec BIGINT)")
-
-        def spill(table: pa.Table) -> None:
-            db.register("part", table)
-            for i, name in enumerate(names):
-                db.execute(f"INSERT INTO {name} SELECT * FROM part WHERE h & {(1 << RADIX_BITS) - 1} = {i}")
-            db.unregister("part")
-
-        spill(pa.Table.from_batches(held))
-        held.clear()
-        size = 0
+        if rows > part_rows and not part.mixed:
+            held = list(_summed(db, pa.Table.from_batches(held)))
+            rows = 0
+    if held:
+        yield from _summed(db, pa.Table.from_batches(held))
+
+
+def radix_sums(batches: Iterator[pa.RecordBatch], folder: str, part_rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+    """Full sums of all terms in the batches. What exceeds part_rows goes to files in the folder, by hash bits.
+
+    Rows of one term are never separated, so the result does not depend on how far the parts were split.
+    """
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    with _database(folder) as db:
         for batch in batches:
             held.append(batch)
-            size += batch.num_rows
-            if size >= part_rows:
-                spill(pa.Table.from_batches(held))
-                held, size = [], 0
-        if held:
-            spill(pa.Table.from_batches(held))
-        for name in names:
-            yield from _split(db, name, RADIX_BITS, part_rows)
-
-
-def _split(db: duckdb.DuckDBPyConnection, name: str, bits: int, part_rows: int) -> Iterator[pa.RecordBatch]:
-    """Aggregates the table and drops it; a table that is too large is first split by the next bits, if they separate it."""
-    rows, low, high = db.execute(f"SELECT count(*), min(h), max(h) FROM {name}").fetchone()
-    if rows > part_rows and low != high and bits < 60:
-        for i in range(1 << RADIX_BITS):
-            db.execute(f"CREATE TABLE {name}_{i} AS SELECT * FROM {name} WHERE (h >> {bits}) & {(1 << RADIX_BITS) - 1} = {i}")
-        db.execute(f"DROP TABLE {name}")
-        for i in range(1 << RADIX_BITS):
-            yield from _split(db, f"{name}_{i}", bits + RADIX_BITS, part_rows)
-        return
-    reader = db.sql(f"{SUMS} FROM {name} GROUP BY field, term, h").to_arrow_reader(50_000)
-    for batch in reader:
-        yield from pa.Table.from_batches([batch]).cast(SCHEMA).to_batches()
-    db.execute(f"DROP TABLE {name}")
+            rows += batch.num_rows
+            if rows > part_rows:
+                break
+        else:
+            if held:
+                yield from _summed(db, pa.Table.from_batches(held))
+            return
+        system, at = fs.FileSystem.from_uri(folder if "://" in folder or not folder.startswith("file:") else "file://" + folder[len("file:") :])
+        place = (system, f"{at}/kvflow/terms-{uuid.uuid4().hex}")
+        system.create_dir(place[1])
+        try:
+            parts = _split(chain(held, batches), 0, place)
+            held.clear()
+            for part in parts:
+                yield from _sums_of(part, RADIX_BITS, place, db, part_rows)
+        finally:
+            system.delete_dir(place[1])
 
 
 def term_counts(df: DataFrame, record: str = "kv_id", key: str = "key", value: str = "value", part_rows: int = PART_ROWS) -> DataFrame:
@@ -154,7 +177,7 @@ def term_counts(df: DataFrame, record: str = "kv_id", key: str = "key", value: s
       lower case. Very long values are sorted once each. An empty table gives an empty result.
     """
     spark = df.sparkSession
-    folder = local_path(shared_folder(spark))
+    folder = shared_folder(spark)
     records = df.select(F.col(record).alias("_id"), F.col(key).alias("_key"), F.col(value).alias("_value")).distinct()
     terms = occurrences(records, "_key", "_value").mapInArrow(lambda batches: _combined(batches, folder), AS_SQL)
     terms = terms.repartition("h").mapInArrow(lambda batches: radix_sums(batches, folder, part_rows), AS_SQL)

@@ -24,9 +24,10 @@ from kvflow.session import parallel
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the pattern by which byte_bpe_50k cuts a text before merging.
 PRETOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: States, and pretokens with their ids, that a worker keeps before it starts afresh.
+#: States, pretokens with their ids, and pairs of tokens tried, that a worker keeps before it starts afresh.
 MOST_STATES = 400_000
 MOST_MEMO = 400_000
+MOST_PAIRS = 1_000_000
 END = 256
 _loaded: dict[int, Transducer] = {}
 
@@ -71,6 +72,8 @@ class Transducer:
         if known is None:
             left = self.tokens[before] if before >= 0 else b""
             known = self.merged(left + self.tokens[token]) == ([before, token] if before >= 0 else [token])
+            if len(self.compatible) >= MOST_PAIRS:
+                self.compatible.clear()
             self.compatible[before, token] = known
         return known
 
