@@ -1,14 +1,16 @@
 """Flat, linked rows from deeply nested JSON documents, by structural indexing of whole Arrow batches.
 
 The bodies of a batch are one byte array. Vectorised passes build the bitmaps of quotes (without escaped ones), of text in
-quotes, of brackets and of delimiters; prefix sums over the brackets give the depth of every byte. All that is needed of a
-document are the spans between delimiters at depths 1 to 3, which are cut out and emitted with their parent and position.
+quotes, of brackets and of delimiters; prefix sums over the brackets give the depth of every byte. All members of all
+containers of one depth are then found at once, as the spans between its delimiters, and are linked with their container by
+the place of its bracket. Depths 1 to 3 hold all that is wanted of a document.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +22,46 @@ from kvflow.session import parallel
 #: List and the field of its elements that becomes val; None: the elements are lists of scalars.
 CHECKPOINT_LISTS: dict[str, str | None] = {"map_tasks": "state", "reduce_tasks": "state", "decisions": "type", "map_done_for_reduce": None}
 #: Bytes of text indexed at a time; one document may exceed it.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 OPEN, CLOSE = np.zeros(256, bool), np.zeros(256, bool)
 OPEN[[ord("{"), ord("[")]] = True
 CLOSE[[ord("}"), ord("]")]] = True
 
 
+SPACE = np.zeros(256, bool)
+SPACE[list(b" \t\n\r\x0b\x0c")] = True
+#: How scalars of a list of scalars read.
+TRUTH = {"1": "true", "0": "false"}
+
+
+@dataclass
+class Members:
+    """All members of all containers of one depth, in order: the bracket of their container, the span of their name (empty
+    without one), their own span, and their position in the container."""
+
+    container: np.ndarray
+    name: np.ndarray
+    name_end: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    rank: np.ndarray
+
+    def within(self, brackets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the member, number of its bracket) for the members of the containers with these brackets."""
+        if not len(brackets):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        order = np.argsort(brackets, kind="stable")
+        at = np.minimum(np.searchsorted(brackets[order], self.container), len(brackets) - 1)
+        hit = np.flatnonzero(brackets[order][at] == self.container)
+        return hit, order[at[hit]]
+
+
 class Index:
     """Structural index of one or more documents that lie behind each other in `data`, each beginning at one of `starts`."""
 
     def __init__(self, data: bytes, starts: np.ndarray):
         self.data = data
-        b = np.frombuffer(data, np.uint8)
+        self.bytes = b = np.frombuffer(data, np.uint8)
         n = len(b)
         starts = starts[starts < n]
         slash = b == 0x5C
@@ -102,6 +132,51 @@ class Index:
             begin = end
         return out
 
+    def members(self, depth: int, valid: np.ndarray) -> Members:
+        """Members at a depth (1: those of the documents themselves) among the structural places that are valid."""
+        bracket = OPEN[self.kinds] | CLOSE[self.kinds]
+        own = valid & np.where(bracket, self.levels == depth - 1, self.levels == depth)
+        at, kinds = self.places[own], self.kinds[own]
+        number = np.arange(len(at))
+        opens, commas = OPEN[kinds], kinds == 0x2C
+        # Containers of one depth do not overlap, so their delimiters lie behind each other.
+        ends = np.flatnonzero(commas | CLOSE[kinds])
+        begin = np.maximum.accumulate(np.where(opens | commas, number, 0))[ends - 1]
+        bracket_at = np.maximum.accumulate(np.where(opens, number, 0))[ends]
+        named = (kinds[bracket_at] == 0x7B) & (kinds[begin + 1] == 0x3A)
+        start = self._after(at[begin + named] + 1)
+        end = at[ends]
+        kept = start < end
+        container, end = at[bracket_at][kept], self._before(end[kept])
+        name = self._after(at[begin][kept] + 1)
+        name_end = np.where(named[kept], self._before(at[begin + named][kept]), name)
+        first = np.flatnonzero(np.append(True, container[1:] != container[:-1])) if len(container) else np.zeros(0, np.int64)
+        rank = np.arange(len(container)) - np.repeat(first, np.diff(np.append(first, len(container))))
+        return Members(container, name, np.maximum(name_end, name), start[kept], end, rank)
+
+    def _after(self, at: np.ndarray) -> np.ndarray:
+        """The next byte from each place on that is no white space."""
+        at = at.copy()
+        while len(here := np.flatnonzero(SPACE[self.bytes[np.minimum(at, len(self.bytes) - 1)]] & (at < len(self.bytes)))):
+            at[here] += 1
+        return at
+
+    def _before(self, end: np.ndarray) -> np.ndarray:
+        """Each end without the white space before it."""
+        end = end.copy()
+        while len(here := np.flatnonzero(SPACE[self.bytes[end - 1]])):
+            end[here] -= 1
+        return end
+
+    def says(self, start: np.ndarray, end: np.ndarray, word: bytes) -> np.ndarray:
+        """Which spans are exactly this word."""
+        hit = np.flatnonzero(end - start == len(word))
+        for i, byte in enumerate(word):
+            hit = hit[self.bytes[start[hit] + i] == byte]
+        out = np.zeros(len(start), bool)
+        out[hit] = True
+        return out
+
     def kind(self, start: int) -> str:
         return self.data[start : start + 1].decode("latin-1")
 
@@ -139,31 +214,76 @@ def _elements(index: Index, start: int, end: int, lo: int, hi: int) -> Iterator[
             yield 0, start, end, lo, hi
 
 
-def _rows(index: Index, start: int, end: int, lists: dict[str, str | None]) -> Iterator[tuple[str, int, int, str]]:
-    found = index.document(start, end)
-    if not found or index.kind(start) != "{":
+def _texts(index: Index, start: np.ndarray, end: np.ndarray) -> list[str]:
+    data = index.data
+    return [_text(data[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+
+
+Rows = tuple[np.ndarray, str, np.ndarray, np.ndarray, list[str]]
+
+
+def _rows(index: Index, documents: list[tuple[int, int]], lists: dict[str, str | None]) -> Iterator[Rows]:
+    """(number of the document, child, idx, sub_idx, val) columns of all elements of the lists of the documents."""
+    valid = np.zeros(len(index.places), bool)
+    roots = []
+    for i, (start, end) in enumerate(documents):
+        found = index.document(start, end) if end > start and index.kind(start) == "{" else None
+        if found:
+            valid[found[0] : found[1]] = True
+            roots.append((start, i))
+    if not roots:
         return
-    members = {_name(name): span for name, *span in index.children(*found)}
+    top, second, third = (index.members(depth, valid) for depth in (1, 2, 3))
+    places, numbers = np.array(roots).T
+    hit, at = top.within(places)
+    # Of a name given twice the last counts.
+    chosen: dict[str, dict[int, int]] = {child: {} for child in lists}
+    for m, owner, a, b in zip(hit.tolist(), numbers[at].tolist(), top.name[hit].tolist(), top.name_end[hit].tolist(), strict=True):
+        name = _text(index.data[a:b])
+        if name in chosen:
+            chosen[name][owner] = m
     for child, field in lists.items():
-        if child not in members:
+        owners = np.array(list(chosen[child]), np.int64)
+        value = np.array(list(chosen[child].values()), np.int64)
+        start, end = top.start[value], top.end[value]
+        hit, at = second.within(start[index.bytes[start] == 0x5B])
+        elements = [(owners[index.bytes[start] == 0x5B][at], second.rank[hit], second.start[hit], second.end[hit])]
+        # Objects in place of a list: one by one.
+        for owner, a, b in zip(*(x[index.bytes[start] == 0x7B].tolist() for x in (owners, start, end)), strict=True):
+            single = [e[:3] for e in _elements(index, a, b, *np.searchsorted(index.places, (a, b)).tolist())]
+            if single:
+                position, a2, b2 = (np.array(x, np.int64) for x in zip(*single, strict=True))
+                elements.append((np.full(len(single), owner), position, a2, b2))
+        owner, idx, start, end = (np.concatenate(x) for x in zip(*elements, strict=True))
+        there = ~index.says(start, end, b"null")
+        owner, idx, start, end = owner[there], idx[there], start[there], end[there]
+        first = index.bytes[start]
+        if field is not None:
+            values = np.full(len(start), "", object)
+            objects = np.flatnonzero(first == 0x7B)
+            for members in (third, second):  # an object in place of a list has its fields one level higher
+                hit, at = members.within(start[objects])
+                fits = index.says(members.name[hit], members.name_end[hit], json.dumps(field).encode())
+                for i in np.flatnonzero(~fits & (members.name_end[hit] - members.name[hit] > len(field) + 2)).tolist():
+                    raw = index.data[members.name[hit[i]] : members.name_end[hit[i]]]
+                    fits[i] = b"\\" in raw and _text(raw) == field
+                hit, at = hit[fits], at[fits]
+                null = index.says(members.start[hit], members.end[hit], b"null")
+                found = np.array(_texts(index, members.start[hit], members.end[hit]), object)
+                found[null] = ""
+                values[objects[at]] = found
+            yield owner, child, idx, np.full(len(idx), -1), values.tolist()
             continue
-        for i, s, e, lo, hi in _elements(index, *members[child]):
-            raw = index.data[s:e]
-            if raw == b"null":
-                continue
-            if field is None:
-                for j, s2, e2, *_ in _elements(index, s, e, lo, hi):
-                    cell = _text(index.data[s2:e2])
-                    if cell != "null":
-                        yield child, i, j, {"1": "true", "0": "false"}.get(cell, cell)
-                continue
-            value = ""
-            if index.kind(s) == "{":
-                own = {_name(name): span for name, *span in index.children(lo, hi)}
-                if field in own:
-                    value = _text(index.data[own[field][0] : own[field][1]])
-                    value = "" if index.data[own[field][0] : own[field][1]] == b"null" else value
-            yield child, i, -1, value
+        hit, at = third.within(start[first == 0x5B])
+        cells = [(owner[first == 0x5B][at], idx[first == 0x5B][at], third.rank[hit], third.start[hit], third.end[hit])]
+        for i in np.flatnonzero(first == 0x7B).tolist():
+            a, b = int(start[i]), int(end[i])
+            for j, a2, b2, *_ in _elements(index, a, b, *np.searchsorted(index.places, (a, b)).tolist()):
+                cells.append(tuple(np.array([x]) for x in (owner[i], idx[i], j, a2, b2)))
+        owner, idx, sub, start, end = (np.concatenate(x) for x in zip(*cells, strict=True))
+        values = [TRUTH.get(t, t) for t in _texts(index, start, end)]
+        there = np.array([v != "null" for v in values], bool)
+        yield owner[there], child, idx[there], sub[there], [v for v in values if v != "null"]
 
 
 def _unwrapped(body: str | None) -> bytes:
@@ -203,16 +323,11 @@ def flatten_lists(df: DataFrame, key: str, body: str, lists: dict[str, str | Non
                 lengths = np.array([len(p) + 1 for p in parts])
                 starts = np.cumsum(lengths) - lengths
                 index = Index(b"\n".join(parts) + b"\n", starts)
-                owner, found = [], []
-                for i, part in enumerate(parts):
-                    if part:
-                        rows = list(_rows(index, int(starts[i]), int(starts[i]) + len(part), lists))
-                        owner += [first + i] * len(rows)
-                        found += rows
-                child, idx, sub, val = zip(*found, strict=True) if found else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(owner, pa.int32())), pa.array(child, pa.string()), pa.array(idx, pa.int32()), pa.array(sub, pa.int32()), pa.array(val, pa.string())],
-                    names=[key, "child", "idx", "sub_idx", "val"],
-                )
+                spans = [(int(a), int(a) + len(p)) for a, p in zip(starts, parts, strict=True)]
+                for owner, child, idx, sub, val in _rows(index, spans, lists):
+                    if len(owner):
+                        columns = [keys.take(pa.array(owner + first)), pa.array([child]).take(pa.array(np.zeros(len(owner), np.int32)))]
+                        columns += [pa.array(idx, pa.int32()), pa.array(sub, pa.int32()), pa.array(val, pa.string())]
+                        yield pa.RecordBatch.from_arrays(columns, names=[key, "child", "idx", "sub_idx", "val"])
 
     return parallel(df.select(F.col(key), F.col(body))).mapInArrow(run, f"`{key}` {kind}, child string, idx int, sub_idx int, val string")
