@@ -13,17 +13,13 @@ FNV_MASK = 4294967295
 
 def fnv1a32(key: Column) -> Column:
     """FNV-1a of the UTF-8 bytes of key, as BIGINT from 0 to 2**32 - 1. Null stays null."""
-    digits = F.hex(F.encode(key, "UTF-8"))
-    # Two hex digits a byte: the offset of byte i is 2 i + 1.
-    byte = lambda i: F.conv(F.substring(digits, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("bigint")
-    steps = F.when(F.octet_length(key) > 0, F.sequence(F.lit(0), F.octet_length(key) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.when(
-        key.isNotNull(),
-        F.aggregate(
-            F.transform(steps, byte),
-            F.lit(FNV_OFFSET).cast("bigint"),
-            lambda state, b: (state.bitwiseXOR(b) * F.lit(FNV_PRIME).cast("bigint")).bitwiseAND(F.lit(FNV_MASK).cast("bigint")),
-        ),
+    # Read as Latin-1, each byte is one character, whose number is the byte.
+    signs = F.split(F.decode(F.encode(key, "UTF-8"), "ISO-8859-1"), "")
+    signs = F.when(key == "", F.array().cast("array<string>")).otherwise(signs)
+    return F.aggregate(
+        signs,
+        F.lit(FNV_OFFSET).cast("bigint"),
+        lambda state, sign: (state.bitwiseXOR(F.ascii(sign).cast("bigint")) * F.lit(FNV_PRIME).cast("bigint")).bitwiseAND(F.lit(FNV_MASK).cast("bigint")),
     )
 
 

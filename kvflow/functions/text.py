@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 WORD = r"[a-zA-Z\p{IsHan}]+"
 TAG = r"<[^>]*>"
 SPACE = r"[\t\n\f\r ]+"
+INTEGER = "[+-]?[0-9]+"
 UNPRINTABLE = r"[^\p{L}\p{M}\p{N}\p{P}\p{S} ]"
 #: Stands between the texts that a merge joins.
 MERGE_SEPARATOR = "\n---\n"
@@ -43,7 +46,13 @@ def clean_html(html: Column) -> Column:
 
 
 def is_integer(value: Column) -> Column:
-    return value.rlike(r"^[+-]?[0-9]+\z")
+    return value.rlike(rf"^{INTEGER}\z")
+
+
+def read_integer(value: str) -> int | None:
+    """The same as integer_or_skip for one value in Python."""
+    number = int(value) if re.fullmatch(INTEGER, value) else None
+    return number if number is not None and -(1 << 63) <= number < 1 << 63 else None
 
 
 def integer_or_skip(value: Column) -> Column:
@@ -60,6 +69,16 @@ def saved_percent(before: Column, after: Column) -> Column:
     return F.when(before <= 0, F.lit(0.0)).otherwise((1 - after / before) * 100)
 
 
+def ratio_percent(part: Column, total: Column) -> Column:
+    """part in percent of total; 0 where total is not positive."""
+    return F.when(total <= 0, F.lit(0.0)).otherwise(part / total * 100)
+
+
+def json_string_bytes(value: Column) -> Column:
+    """UTF-8 bytes of value inside a JSON string: two for a quote, backslash, LF, CR and tab, six for other control characters."""
+    return F.octet_length(value) + F.regexp_count(value, F.lit(r'["\\\n\r\t]')) + 5 * F.regexp_count(value, F.lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"))
+
+
 def human_bytes(n: int) -> str:
     """1536 as '1.50 KB'."""
     if n < 1024:

@@ -32,21 +32,26 @@ def parse_crawl_json(line: Column) -> Column:
     return F.from_json(line, CRAWL_RECORD, {"allowSingleQuotes": "false"})
 
 
+def _no_number(name: str) -> None:
+    raise ValueError(name)
+
+
 def _strict(line: str | None) -> dict | None:
     try:
-        record = json.loads(line)
-    except (TypeError, ValueError):
+        record = json.loads(line, parse_constant=_no_number)
+    except (TypeError, ValueError, RecursionError):
         return None
+    found = dict.fromkeys(CRAWL_RECORD.names, "")
     if record is None:
-        return dict.fromkeys(CRAWL_RECORD.names, "")
+        return found
     if not isinstance(record, dict):
         return None
-    found = dict.fromkeys(CRAWL_RECORD.names, "")
     for name, value in record.items():
         if (field := name.lower()) in found and value is not None:
             if not isinstance(value, str):
                 return None
-            found[field] = value
+            # Half of a surrogate pair is no character.
+            found[field] = value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
     return found
 
 

@@ -37,11 +37,12 @@ def partitioned(counts: DataFrame, n: int) -> DataFrame:
     return counts.select("word", hashing.fnv1a32(F.col("word")).alias("fnv"), hashing.reduce_id(F.col("word"), n).alias("reduce_id"), "cnt")
 
 
-def shuffle_sizes(counts: DataFrame) -> DataFrame:
-    """Bytes of the pairs as JSON lines and as length-prefixed binary, and the percentage that the latter saves."""
-    value = F.col("cnt").cast("string")
-    escaped = lambda c: F.octet_length(c) + F.regexp_count(c, F.lit(r'["\\\n\r\t]'))
-    return counts.agg(
-        F.sum(22 + escaped(F.col("word")) + F.octet_length(value)).alias("json_bytes"),
-        F.sum(8 + F.octet_length(F.col("word")) + F.octet_length(value)).alias("binary_bytes"),
-    ).withColumn("saved_pct", F.round(text.saved_percent(F.col("json_bytes"), F.col("binary_bytes")), 6))
+def shuffle_sizes(pairs: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
+    """Bytes of the pairs as JSON lines and as length-prefixed binary, and how much the latter saves and is, in percent."""
+    k, v = F.coalesce(key, F.lit("")), F.coalesce(F.col(value).cast("string"), F.lit(""))
+    sums = pairs.agg(
+        F.coalesce(F.sum(22 + text.json_string_bytes(k) + text.json_string_bytes(v)), F.lit(0)).alias("json_bytes"),
+        F.coalesce(F.sum(8 + F.octet_length(k) + F.octet_length(v)), F.lit(0)).alias("binary_bytes"),
+    )
+    before, after = F.col("json_bytes"), F.col("binary_bytes")
+    return sums.withColumns({"saved_pct": F.round(text.saved_percent(before, after), 6), "ratio_pct": F.round(text.ratio_percent(after, before), 6)})

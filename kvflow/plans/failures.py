@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from enum import StrEnum
 
-from pyspark.errors import AnalysisException
-
 from kvflow.plans.registry import ConfigError
 
 
@@ -19,6 +19,19 @@ class Category(StrEnum):
 
 # Beginnings of failure reasons.
 PREFIXES = {"input_read:": Category.INPUT, "config:": Category.CONFIG, "intermediate_": Category.INTERMEDIATE, "shuffle_": Category.INTERMEDIATE, "output_": Category.INTERMEDIATE}
+#: Error conditions of Spark, and Java exceptions, that a failed read of the input leaves in a message.
+READ_SIGNS = ("PATH_NOT_FOUND", "FAILED_READ_FILE", "LINE_TOO_LONG", "java.io.FileNotFoundException", "java.io.EOFException", "AccessControlException")
+FETCH_SIGNS = ("FetchFailed", "MetadataFetchFailed")
+#: What each category tells the one who submitted the job.
+ADVICE = {
+    Category.INPUT: "the input could not be read",
+    Category.CONFIG: "the job's configuration is not usable",
+    Category.INTERMEDIATE: "data of the job's own could not be written or read",
+}
+
+
+class StageError(RuntimeError):
+    """A failure whose reason begins with the prefix of the place where it was raised."""
 
 
 def classify(reason: str) -> Category:
@@ -35,27 +48,36 @@ def is_retried(category: Category) -> bool:
     return category not in (Category.INPUT, Category.CONFIG)
 
 
-def reason_of(error: BaseException) -> str:
-    """A reason with its prefix for an exception of the driver or of Spark."""
+def reason_of(error: BaseException, place: str = "") -> str:
+    """A reason with its prefix: by the kind of error, by what Spark says of it, and else by the place where it was raised."""
     text = str(error)
+    if isinstance(error, StageError):
+        return text
     if isinstance(error, ConfigError):
         return f"config: {text}"
-    if isinstance(error, OSError | ValueError) or isinstance(error, AnalysisException) and "PATH" in (error.getCondition() or ""):
+    if any(sign in text for sign in READ_SIGNS):
         return f"input_read: {text}"
-    if "FetchFailed" in text:
+    if any(sign in text for sign in FETCH_SIGNS):
         return f"shuffle_fetch: {text}"
-    return text
+    return f"{place}: {text}" if place else text
+
+
+@contextmanager
+def raised_in(place: str) -> Iterator[None]:
+    """Names the place in the reason of OS errors and errors of the file system that are raised inside."""
+    try:
+        yield
+    except StageError:
+        raise
+    except OSError as error:
+        raise StageError(reason_of(error, place)) from error
 
 
 def message(reason: str, base: str, file: str = "") -> str:
-    """What users are told."""
+    """What users are told: the base, the advice of the category, the file if one is named, and the reason without its prefix."""
     reason = reason.strip()
-    category = classify(reason)
-    detail = reason.partition(":")[2].strip() if category in (Category.INPUT, Category.CONFIG) else reason
     if not reason:
         return base
-    if category is Category.INPUT:
-        return f"input not available: {file} ({detail})" if file else f"input not available: {detail}"
-    if category is Category.CONFIG:
-        return f"wrong job configuration: {detail}"
-    return f"{base} ({reason})"
+    category = classify(reason)
+    detail = reason.partition(":")[2].strip() if category in ADVICE else reason
+    return ": ".join(part for part in (base, ADVICE.get(category, ""), file, detail.splitlines()[0] if detail else "") if part)

@@ -51,8 +51,8 @@ class Registry:
     def register_reduce(self, name: str, function: ReduceFunction | Native, native: bool = False) -> None:
         self.reduces[name] = Entry(function, native)
 
-    def register_combine(self, name: str, function: ReduceFunction, combines: Iterable[str]) -> None:
-        self.combines[name] = Entry(function, False, frozenset(combines))
+    def register_combine(self, name: str, function: ReduceFunction | Native, combines: Iterable[str], native: bool = False) -> None:
+        self.combines[name] = Entry(function, native, frozenset(combines))
 
     def resolve(self, map_name: str, reduce_name: str, combine_name: str = "") -> tuple[Entry, Entry, Entry | None]:
         """Functions of a job at submission. Unknown maps and reduces are errors, as is a combine not made for the reduce; an
@@ -109,10 +109,6 @@ def _wordcount_reduce(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("key").agg(total.cast("string").alias("value"))
 
 
-def _wordcount_combine(key: str, values: list[str]) -> str:
-    return str(sum(int(v) for v in values if v.lstrip("+-").isdecimal()))
-
-
 def _crawl_map(lines: DataFrame) -> DataFrame:
     records = sources.crawl_records(lines)
     return crawl_clean.cleaned_rows(records, F.lit(0)).select(F.col("domain").alias("key"), F.col("cleaned").alias("value"))
@@ -129,7 +125,8 @@ def builtin() -> Registry:
     registry = Registry()
     registry.register_map("wordcount_map", _wordcount_map, native=True)
     registry.register_reduce("wordcount_reduce", _wordcount_reduce, native=True)
-    registry.register_combine("wordcount_combine", _wordcount_combine, ["wordcount_reduce"])
+    # Sums of sums are sums, so the reduce is its own combine.
+    registry.register_combine("wordcount_combine", _wordcount_reduce, ["wordcount_reduce"], native=True)
     registry.register_map("crawl_clean_map", _crawl_map, native=True)
     registry.register_reduce("crawl_clean_reduce", _crawl_reduce, native=True)
     return registry

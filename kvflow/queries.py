@@ -12,7 +12,7 @@ from kvflow.functions import hashing, text, web
 from kvflow.operators import crawl_clean, nested, skew, timestamps, wordcount
 from kvflow.plans.jobs import mapped
 from kvflow.plans.registry import REGISTRY, Entry
-from kvflow.session import local_path, materialise, shared_folder, table
+from kvflow.session import materialise, shared_folder, table
 from kvflow.sources.lines import crawl_records as crawl_lines
 from kvflow.sources.lines import read_lines
 from kvflow.sources.outputs import laid_out, write_partitions
@@ -42,7 +42,29 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return timestamps.normalise(unread, table(spark, d, "crawlers"), ["rec_id"]).where("utc_micros IS NOT NULL")
 
 
-@query()
+@query("""
+    WITH RECURSIVE layers AS (
+        SELECT ckpt_id, 0 AS n, trim(body, chr(65279) || chr(32) || chr(9) || chr(13) || chr(10)) AS b FROM job_checkpoints
+        UNION ALL
+        SELECT ckpt_id, n + 1, trim(json_extract_string(b, '$'), chr(65279) || chr(32) || chr(9) || chr(13) || chr(10)) FROM layers WHERE n < 4 AND b LIKE '"%"' AND json_valid(b)),
+    documents_ AS (SELECT ckpt_id, CASE WHEN json_valid(b) THEN b::JSON END AS j FROM layers WHERE b LIKE '{%}'),
+    lists AS (SELECT ckpt_id, child, json_extract(j, '$.' || child) AS v FROM documents_, (VALUES ('map_tasks'), ('reduce_tasks'), ('decisions'), ('map_done_for_reduce')) AS c(child) WHERE j IS NOT NULL),
+    shaped AS (SELECT *, json_type(v) AS kind, CASE WHEN json_type(v) = 'OBJECT' THEN json_keys(v) END AS names FROM lists WHERE json_type(v) IN ('ARRAY', 'OBJECT')),
+    elements AS (
+        SELECT ckpt_id, child, unnest(range(json_array_length(v)::BIGINT))::INT AS idx, unnest(json_extract(v, '$[*]')) AS e FROM shaped WHERE kind = 'ARRAY'
+        UNION ALL
+        SELECT ckpt_id, child, unnest(names)::INT, unnest(list_transform(names, lambda k: json_extract(v, '$."' || k || '"'))) FROM shaped WHERE kind = 'OBJECT' AND len(list_filter(names, lambda k: NOT regexp_full_match(k, '[0-9]+'))) = 0
+        UNION ALL
+        SELECT ckpt_id, child, 0, v FROM shaped WHERE kind = 'OBJECT' AND len(list_filter(names, lambda k: NOT regexp_full_match(k, '[0-9]+'))) > 0),
+    cells AS (
+        SELECT ckpt_id, child, idx, unnest(range(json_array_length(e)::BIGINT))::INT AS sub_idx, unnest(json_extract(e, '$[*]')) AS c FROM elements WHERE child = 'map_done_for_reduce' AND json_type(e) = 'ARRAY'
+        UNION ALL
+        SELECT ckpt_id, child, idx, unnest(names)::INT, unnest(list_transform(names, lambda k: json_extract(e, '$."' || k || '"'))) FROM (SELECT *, json_keys(e) AS names FROM elements WHERE child = 'map_done_for_reduce' AND json_type(e) = 'OBJECT'))
+    SELECT ckpt_id, child, idx, -1 AS sub_idx, CASE WHEN json_type(e) = 'OBJECT' THEN coalesce(json_extract_string(e, CASE child WHEN 'decisions' THEN '$.type' ELSE '$.state' END), '') ELSE '' END AS val
+    FROM elements WHERE child <> 'map_done_for_reduce' AND json_type(e) <> 'NULL'
+    UNION ALL
+    SELECT ckpt_id, child, idx, sub_idx, CASE json_extract_string(c, '$') WHEN '1' THEN 'true' WHEN '0' THEN 'false' ELSE json_extract_string(c, '$') END FROM cells WHERE json_type(c) <> 'NULL'
+""")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.flatten_lists(table(spark, d, "job_checkpoints"), "ckpt_id", "body", nested.CHECKPOINT_LISTS)
 
@@ -136,9 +158,10 @@ def sort_within_partition(spark: SparkSession, d: str) -> DataFrame:
     return laid_out(_counts(spark, d).select(F.col("word").alias("key"), F.col("cnt").cast("string").alias("value")), 3)
 
 
-@query(f"SELECT word || chr(9) || cnt::VARCHAR AS line FROM ({_COUNTS})")
+@query(f"SELECT 'mr-out-' || reduce_id::VARCHAR AS name, word || chr(9) || cnt::VARCHAR AS line FROM ({_PLACED})")
 def sink_tsv(spark: SparkSession, d: str) -> DataFrame:
-    return _counts(spark, d).select(F.concat_ws("\t", "word", F.col("cnt").cast("string")).alias("line"))
+    """The lines of the partition files as they were written, with the names of their files."""
+    return _written_counts(spark, d).select(F.regexp_extract("file", "[^/]+$", 0).alias("name"), F.col("value").alias("line"))
 
 
 @query(f"SELECT word, cnt FROM ({_COUNTS}) ORDER BY word")
@@ -147,10 +170,22 @@ def total_order_single_partition(spark: SparkSession, d: str) -> DataFrame:
     return _counts(spark, d).orderBy("word")
 
 
-@query(f"""SELECT sum(22 + strlen(word) + strlen(cnt::VARCHAR))::BIGINT AS json_bytes, sum(8 + strlen(word) + strlen(cnt::VARCHAR))::BIGINT AS binary_bytes,
-           round((1 - sum(8 + strlen(word) + strlen(cnt::VARCHAR)) / sum(22 + strlen(word) + strlen(cnt::VARCHAR))) * 100, 6) AS saved_pct FROM ({_COUNTS})""")
+_ESCAPED = """(strlen(coalesce({0}, '')) + len(regexp_extract_all(coalesce({0}, ''), '["\\\\\n\r\t]')) + 5 * len(regexp_extract_all(coalesce({0}, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f]')))"""
+_SIZES = f"""SELECT json_bytes, binary_bytes, round((1 - binary_bytes / json_bytes) * 100, 6) AS saved_pct, round(binary_bytes / json_bytes * 100, 6) AS ratio_pct
+    FROM (SELECT sum(22 + {_ESCAPED.format("key")} + {_ESCAPED.format("value")})::BIGINT AS json_bytes,
+                 sum(8 + strlen(coalesce(key, '')) + strlen(coalesce(value, '')))::BIGINT AS binary_bytes FROM (SOURCE))"""
+
+
+@query(_SIZES.replace("SOURCE", f"SELECT word AS key, cnt::VARCHAR AS value FROM ({_COUNTS})"))
 def shuffle_size_estimate(spark: SparkSession, d: str) -> DataFrame:
-    return wordcount.shuffle_sizes(_counts(spark, d))
+    return wordcount.shuffle_sizes(_counts(spark, d).select(F.col("word").alias("key"), F.col("cnt").alias("value")))
+
+
+@query(_SIZES.replace("SOURCE", "SELECT key || chr(1) || chr(9) AS key, value || chr(34) || chr(10) || chr(92) || chr(31) AS value FROM key_values"))
+def shuffle_size_escapes(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of pairs with signs that JSON escapes in each."""
+    pairs = table(spark, d, "key_values").select(F.concat("key", F.lit("\x01\t")).alias("key"), F.concat("value", F.lit('"\n\\\x1f')).alias("value"))
+    return wordcount.shuffle_sizes(pairs)
 
 
 @query(f"SELECT DISTINCT word, doc_id FROM ({_WORDS})")
@@ -192,7 +227,9 @@ def stream_wordcount(spark: SparkSession, d: str) -> DataFrame:
 
     stream = running_word_counts(rows, "text").writeStream.outputMode("complete").foreachBatch(keep)
     stream.option("checkpointLocation", f"{shared_folder(spark)}/kvflow/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start().awaitTermination()
-    return done[0] if done else _counts(spark, d)
+    if not done:
+        raise RuntimeError("the stream gave no result")
+    return done[0]
 
 
 SQL["stream_wordcount"] = _COUNTS
@@ -230,7 +267,11 @@ def crawl_counts(spark: SparkSession, d: str) -> DataFrame:
     return crawl_clean.counts_per_domain(_rows(spark, d))
 
 
-@query()
+_QUOTED = """replace(replace(replace(replace(replace(to_json(merged_text)::VARCHAR, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026'), chr(8232), '\\u2028'), chr(8233), '\\u2029')"""
+
+
+@query(f"""SELECT domain, '{{"count":' || count::VARCHAR || ',"merged_text":' || {_QUOTED} || ',"unique_count":' || unique_count::VARCHAR || '}}' AS value FROM (
+           SELECT domain, sum(n)::BIGINT AS count, count(*)::BIGINT AS unique_count, string_agg(cleaned, chr(10) || '---' || chr(10) ORDER BY first, cleaned) AS merged_text FROM ({_UNIQUE}) GROUP BY domain)""")
 def emit_crawl_json(spark: SparkSession, d: str) -> DataFrame:
     merged = crawl_clean.merged_per_domain(_rows(spark, d))
     return merged.select("domain", web.emit_crawl_json(F.col("count"), F.col("merged_text"), F.col("unique_count")).alias("value"))
@@ -284,11 +325,8 @@ def _scratch(spark: SparkSession) -> str:
 
 def _written_counts(spark: SparkSession, d: str) -> DataFrame:
     """Word counts written to three partition files and read as lines with their file."""
-    folder = local_path(_scratch(spark))
-    if folder is None:
-        raise ValueError("files with given names need a shared folder that is mounted")
     pairs = _counts(spark, d).select(F.col("word").alias("key"), F.col("cnt").cast("string").alias("value"))
-    return read_lines(spark, [f"file://{path}" for path in write_partitions(pairs, 3, folder)])
+    return read_lines(spark, [f"file://{path}" if path.startswith("/") else path for path in write_partitions(pairs, 3, _scratch(spark))])
 
 
 @query(f"SELECT word AS key, cnt::VARCHAR AS value FROM ({_COUNTS})")
@@ -310,10 +348,34 @@ def scan_jsonl(spark: SparkSession, d: str) -> DataFrame:
     return crawl_lines(read_lines(spark, [folder]))
 
 
+# The table of lines that strict reading takes or leaves, by number; the rest of the columns is what it makes of them.
+_STRICT = [
+    ('{"url":"//h/1","html":"a","timestamp":"t"}', ("//h/1", "a", "t")),
+    ('{"URL":"//h/2","Html":"b"}', ("//h/2", "b", "")),
+    ('{"url":123,"html":"c"}', None),
+    ('{"url":"//h/4","timestamp":5}', None),
+    ('{"url":"//h/5"} trailing', None),
+    ("{'url':'//h/6'}", None),
+    ('{"url":"//h/7","url":"//h/8"}', ("//h/8", "", "")),
+    ('{"url":null,"html":"d","other":[1]}', ("", "d", "")),
+    ("null", ("", "", "")),
+    ("[1]", None),
+    ("", None),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{line.replace(chr(39), chr(39) * 2)}', '{r[0]}', '{r[1]}', '{r[2]}')" for line, r in _STRICT if r) + ") AS t(line, url, html, timestamp)")
+def strict_json(spark: SparkSession, d: str) -> DataFrame:
+    lines = spark.createDataFrame([(line,) for line, _ in _STRICT], "value string").where("value <> ''")
+    read = lines.select(F.col("value").alias("line"), web.parse_crawl_json_strict(F.col("value")).alias("r")).where("r.url IS NOT NULL")
+    return read.select("line", "r.*")
+
+
 @query(f"SELECT word AS key, cnt::VARCHAR AS value FROM ({_COUNTS})")
 def combine_udf(spark: SparkSession, d: str) -> DataFrame:
-    """The same count by a Python map function, combined before the shuffle by the registered function."""
-    _, reducer, combine = REGISTRY.resolve("wordcount_map", "wordcount_reduce", "wordcount_combine")
+    """The same count by Python map and combine functions, which run before the shuffle."""
+    _, reducer, _ = REGISTRY.resolve("wordcount_map", "wordcount_reduce")
+    combine = Entry(_python_sum, native=False)
     lines = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("source").alias("file"), F.col("text").alias("value"))
     return reducer.function(mapped(lines, Entry(_python_words, native=False), combine))
 
@@ -324,6 +386,10 @@ def _python_words(_: str, contents: str) -> list[tuple[str, str]]:
     return [(word.lower(), "1") for word in regex.findall(r"[a-zA-Z\p{Han}]+", contents)]
 
 
+def _python_sum(_: str, values: list[str]) -> str:
+    return str(sum(int(v) for v in values))
+
+
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS kind, count(*)::BIGINT AS n FROM events GROUP BY ALL")
 def windowed_events(spark: SparkSession, d: str) -> DataFrame:
     """The streaming windows over a finished table."""
@@ -377,7 +443,13 @@ def partition_readiness(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT job_id, round(median(elapsed_ms)::DOUBLE, 3) AS median_ms FROM dashboard_tasks WHERE elapsed_ms >= 0 AND elapsed_ms < 2592000000 GROUP BY job_id")
 def median_by_job(spark: SparkSession, d: str) -> DataFrame:
     valid = table(spark, d, "dashboard_tasks").where("elapsed_ms >= 0 AND elapsed_ms < 2592000000")
-    return valid.groupBy("job_id").agg(F.round(F.median("elapsed_ms"), 3).alias("median_ms"))
+    # Counts per value are made before the shuffle by job; of a job only its different values meet in one task, and these may spill.
+    counts = valid.groupBy("job_id", "elapsed_ms").agg(F.count("*").alias("n"))
+    job = Window.partitionBy("job_id").orderBy("elapsed_ms")
+    ranked = counts.withColumn("upto", F.sum("n").over(job)).withColumn("total", F.sum("n").over(job.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    middle = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("elapsed_ms")))
+    both = middle(F.floor((F.col("total") + 1) / 2)) + middle(F.floor(F.col("total") / 2) + 1)
+    return ranked.groupBy("job_id").agg(F.round(both.cast("double") / 2, 3).alias("median_ms"))
 
 
 @query("SELECT ckpt_id, job_id FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY stored_at DESC NULLS LAST, ckpt_id DESC) AS r FROM job_checkpoints) WHERE r = 1")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -13,14 +14,33 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 #: Bytes of input a core below which an input is dealt to all cores before heavy work.
 SMALL_SPLIT_BYTES = 1 << 20
+#: Attempts of a task on one machine.
+TASK_ATTEMPTS = 4
 #: Tables written by materialise that are still there.
 _left: dict[str, SparkSession] = {}
 
 
+#: How Spark treats failing and slow tasks: three retries of a task, a backup copy of one that takes 1.5 times the median once
+#: three quarters are done, executors left out after repeated failures, and executors given up when they fall silent.
+FAULT_SETTINGS = {
+    "spark.task.maxFailures": "4",
+    "spark.speculation": "true",
+    "spark.speculation.multiplier": "1.5",
+    "spark.speculation.quantile": "0.75",
+    "spark.excludeOnFailure.enabled": "true",
+    "spark.excludeOnFailure.task.maxTaskAttemptsPerExecutor": "3",
+    "spark.excludeOnFailure.stage.maxFailedTasksPerExecutor": "3",
+    "spark.executor.heartbeatInterval": "5s",
+    "spark.network.timeout": "30s",
+    "spark.shuffle.compress": "true",
+    "spark.io.compression.codec": "zstd",
+}
+
+
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = (
-        SparkSession.builder.master(f"local[{cores}]")
+        SparkSession.builder.master(f"local[{cores},{TASK_ATTEMPTS}]")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
@@ -32,6 +52,14 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def fault_tolerant_session(**conf: str) -> SparkSession:
+    """A session for serving jobs, on the master that spark-submit or the environment names, else on this machine."""
+    builder = SparkSession.builder.config(map=FAULT_SETTINGS | {"spark.sql.session.timeZone": "UTC"} | conf)
+    if not os.environ.get("MASTER") and "spark.master" not in conf:
+        builder = builder.master(f"local[*,{TASK_ATTEMPTS}]")
+    return builder.getOrCreate()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table `name` of the folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
