@@ -185,7 +185,7 @@ def run_sets(records: DataFrame) -> DataFrame:
             for batch in batches:
                 yield _sets(batch.column(0), batch.column(1).to_pylist(), known)
 
-        made = parts.select("id", F.array_join(F.transform("parts", lambda p: p["body"]), " ")).mapInArrow(joined, SETS)
+        made = parts.select("id", F.array_join(F.transform("parts", lambda p: p["body"]), " ").alias("text")).mapInArrow(joined, SETS)
     sets = materialise(made, "runs")
     discard(seen, cells)
     return sets

@@ -84,8 +84,10 @@ BODY_SHARE = 0.25
 FOREIGN_SHARE = 0.1
 #: A stream is foreign to a site if more than this part of its landmarks is rare there.
 FOREIGN_MARKS = 0.5
-#: A landmark on a smaller share of a site's blocks is no part of the site's wrapper, which bounds the wrapper's length.
+#: A landmark on a smaller share of a site's blocks, or on fewer pages, is no part of the site's wrapper, which bounds the
+#: wrapper's length.
 WRAPPER_SHARE = 0.001
+WRAPPER_PAGES = 2
 #: Body cells and template texts, 8 bytes each, up to which they are broadcast; more are joined by shuffle.
 BROADCAST_KEYS = 4_000_000
 _tags: dict[str, tuple[str, str, str]] = {}
@@ -567,16 +569,16 @@ def _judge(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def placed_streams(streams: DataFrame) -> DataFrame:
-    """(site, stream, marks, foreign, los, his) of streams (site, stream, marks, a): the slots of its site's wrapper that each slot may be.
+    """(site, stream, marks, foreign, los, his) of streams (site, stream, marks, a blocks, n pages): the slots of its site's wrapper that each slot may be.
 
     A stream is foreign to a site if its landmarks are rare there but usual on another site, or if there is no site.
     """
-    split = streams.select("site", "stream", "a", F.explode(F.array_distinct("marks")).alias("mark"))
+    split = streams.select("site", "stream", "a", "n", F.explode(F.array_distinct("marks")).alias("mark"))
     totals = streams.groupBy("site").agg(F.sum("a").alias("total"))
-    shares = split.groupBy("site", "mark").agg(F.sum("a").alias("a")).join(totals, "site").select("site", "mark", (F.col("a") / F.col("total")).alias("share"))
+    shares = split.groupBy("site", "mark").agg(F.sum("a").alias("a"), F.sum("n").alias("pages")).join(totals, "site").select("site", "mark", "pages", (F.col("a") / F.col("total")).alias("share"))
     shares = shares.join(shares.groupBy("mark").agg(F.max("share").alias("most")), "mark")
     rare = F.avg((F.col("share") < FOREIGN_SHARE * F.col("most")).cast("int"))
-    usual = F.collect_list(F.when(F.col("share") >= WRAPPER_SHARE, F.col("mark")))
+    usual = F.collect_list(F.when((F.col("share") >= WRAPPER_SHARE) & (F.col("pages") >= WRAPPER_PAGES), F.col("mark")))
     seen = split.join(shares, ["site", "mark"]).groupBy("site", "stream").agg(rare.alias("rare"), usual.alias("usual"))
     foreign = F.coalesce((F.col("rare") > FOREIGN_MARKS) | (F.col("site") == ""), F.lit(False))
     kept = F.transform("marks", lambda m: F.array_contains(F.coalesce("usual", F.array().cast("array<string>")), m))
@@ -623,7 +625,7 @@ def model(seen: DataFrame) -> Model:
     judged = materialise(per_text.join(sites.select("text", F.lit(True).alias("known")), "text", "left").where(often | F.col("known")).select("site", "key", "n", F.col("text").bitwiseXOR(F.col("home")).alias("fixed")), "templates")
 
     counted = each.where("NOT mark").groupBy("site", "stream", "slot", "key", "cell").agg(F.count("*").alias("a"), F.sum("words").cast("bigint").alias("b"))
-    streams = seen.groupBy("site", "stream", "marks").agg(F.sum("n_blocks").alias("a")).where("a > 0")
+    streams = seen.groupBy("site", "stream", "marks").agg(F.sum("n_blocks").alias("a"), F.count("*").alias("n")).where("a > 0")
     placed = placed_streams(streams)
     at = lambda name: F.get(F.col(name), F.col("slot"))
     cells = materialise(counted.join(placed, ["site", "stream"]).withColumns({"lo": at("los"), "hi": at("his")}).drop("los", "his"), "cells")

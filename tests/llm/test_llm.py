@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -127,6 +128,13 @@ def test_terms(spark, rows, part_rows):
     assert rows(terms.term_counts(df, part_rows=part_rows)) == brute_terms(data)
 
 
+def test_parts_of_one_hash(tmp_path):
+    batch = pa.RecordBatch.from_arrays([pa.array(["value"] * 90), pa.array([f"t{i % 3}" for i in range(90)]), pa.array([7] * 90, pa.int64()), pa.array([1] * 90, pa.int64()), pa.array([1] * 90, pa.int64())], schema=terms.SCHEMA)
+    got = [r for b in terms.radix_sums(iter([batch] * 5), f"file://{tmp_path}", part_rows=20) for r in b.to_pylist()]
+    assert sorted((r["term"], r["occ"]) for r in got) == [("t0", 150), ("t1", 150), ("t2", 150)]
+    assert not list((tmp_path / "kvflow").iterdir())
+
+
 def test_marks(spark):
     df = spark.createDataFrame([(2, 1000), (3, 1000), (20, 1000), (21, 1000), (2, 10)], "n_records bigint, n_all bigint")
     assert [r.mark for r in terms.marked(df).collect()] == ["rare", None, None, "common", "rare"]
@@ -176,6 +184,22 @@ def test_mix(spark):
     assert mixing.mix(documents.limit(0), targets).count() == 0 and mixing.mix(documents, targets.limit(0)).count() == 0
 
 
+def test_mix_with_sources_that_have_nothing(spark):
+    data = [(i, "ab"[i % 2], "lorem ipsum dolor " * 20) for i in range(200)]
+    documents = spark.createDataFrame(data, "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("a", 0.4999, 1.0), ("b", 0.4999, 1.0), ("absent", 0.0001, 1.0), ("banned", 0.0001, 0.0)], "source string, target_share double, max_repeats double")
+    found = {r.source: r for r in mixing.shares(mixing.mix(documents, targets, block_tokens=128), targets).collect()}
+    assert found["absent"].tokens_used == found["banned"].tokens_used == 0
+    assert abs(found["a"].share_reached - 0.5) < 0.03 and found["a"].n_docs > 80
+
+
+def test_pairs_tried_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_PAIRS", 50)
+    machine = tokens.Transducer(tokens.read_ranks(tokens.vocabulary_file()))
+    assert machine.decode(machine.encode("some words, many of them, quite different ones")) == "some words, many of them, quite different ones"
+    assert len(machine.compatible) <= 50
+
+
 def sentences(rng, n):
     nouns = [f"noun{c}" for c in "abcdefghijklmnop"]
     forms = ["The {} was put beside the {} in the morning.", "Nobody saw the {} when the {} came along.", "After {} hours we moved the {} again.", "Each {} needs a {} to work well."]
@@ -230,12 +254,43 @@ def test_limits_near_a_larger_one(spark, rows):
     assert {r.length for r in truncation.field_limits(df).collect()} == {1000, 1010, 1015}
 
 
-def test_prefixes(spark, rows):
-    texts = ["a", "ab", "abc", "b", "ba", "c", "c", "d" * 1000, "d" * 1001, "", "zz"]
+def test_prefixes(spark, monkeypatch):
+    texts = ["a", "ab", "abc", "b", "ba", "c", "c", "d" * 1000, "d" * 1001, "", "zz", "b."]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    expected = sorted(((i,) for i, t in enumerate(texts) if any(o != t and o.startswith(t) for o in texts)), key=repr)
-    for partitions in (1, 4):
-        assert rows(truncation.prefixes_of_others(df, partitions).select("doc_id")) == expected
+    expected = sorted((truncation._hash(t), len(t), t.endswith(".")) for t in set(texts) if any(o != t and o.startswith(t) for o in texts))
+    for partitions in ("1", "4"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert sorted(map(tuple, truncation.prefixes_of_others(df).collect())) == expected
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_tokens_of_ascii_texts():
+    for text in ("it's a test, see http://x.y/z?a=1 or www.a.b", "a\r\nb\n\nc d_e 3.14", "<b>x</b> [url=http://a.b]l[/url] &amp; y", "", " \t"):
+        plain = truncation._markup.sub("", text.replace("\r\n", "\n").replace("\r", "\n"))
+        assert truncation.tokens(text) == ["\n" if t[0] == "\n" else t for t in truncation._token.findall(plain)]
+
+
+def test_closings_of_any_script(spark):
+    rng = random.Random(15)
+    data = [(i, "s", sentences(rng, 4) + (f" {w}" if (w := ("tbc", "1,024.50", None, None)[i % 4]) else ""), "x") for i in range(600)]
+    data += [(1000 + i, "s", "\u597d" * (20 + i) + "\u3002 tbc", "x") for i in range(3)]
+    cut = [t[: t.index(" ", 70) + 3 + i % 3] for i, t in enumerate(sentences(rng, 5) for _ in range(40))]
+    cut = [t for t in cut if t[-1].isalpha() and t[-2].isalpha()]
+    data += [(2000 + i, "s", t, "x") for i, t in enumerate(cut)]
+    found = {r.doc_id for r in truncation.truncated(spark.createDataFrame(data, "doc_id bigint, source string, text string, evidence string")).collect()}
+    assert not {i for i in found if i < 2000} and len(found) >= 0.7 * len(cut) > 10
+
+
+def test_shorter_limits_and_prefixes_by_parameter(spark):
+    rng = random.Random(16)
+    data = [(i, "s", sentences(rng, 3)) for i in range(300)] + [(1000 + i, "short", "".join(rng.choices("abcdefgh", k=12))) for i in range(40)]
+    data += [(2000 + i, "short", "".join(rng.choices("abcdefgh", k=rng.randrange(6, 25))) + ".") for i in range(60)] + [(3000, "p", "Fine words"), (3001, "p", "Fine words and more.")]
+    df = spark.createDataFrame(data, "doc_id bigint, source string, text string")
+    found = {r.doc_id: r.evidence for r in truncation.truncated(df, prefix_chars=1, least_limit=1).collect()}
+    assert all(found.get(1000 + i) in ("limit", "goes on") for i in range(40)) and sum(found[1000 + i] == "limit" for i in range(40)) == 40 and found[3000] == "prefix"
+    assert "prefix" not in {r.evidence for r in truncation.truncated(df).collect()}
 
 
 @settings(max_examples=200, deadline=None)
@@ -311,9 +366,64 @@ def test_long_texts_recur_too(spark):
 
 def test_models_too_large_to_broadcast(spark, rows, crawl, monkeypatch):
     df = spark.createDataFrame(crawl, "rec_id bigint, url string, html string")
-    small = rows(pages.main_pieces(df))
-    monkeypatch.setattr(pages, "BROADCAST_BYTES", 0)
-    assert rows(pages.main_pieces(df)) == small
+    small, classes = rows(pages.main_pieces(df)), rows(neardup.class_links(df))
+    monkeypatch.setattr(pages, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(neardup, "SHIPPED_KEYS", 0)
+    assert rows(pages.main_pieces(df)) == small and rows(neardup.class_links(df)) == classes
+
+
+def test_landmarks_among_paragraphs_are_body(spark):
+    rng = random.Random(17)
+    made = []
+    for i in range(60):
+        inner = f"<h1>Head {i}</h1><p>{sentences(rng, 2)}</p><h4>Part {i}</h4><p>{sentences(rng, 2)}</p><p><a href=#>See also the noun {rng.random()}</a></p><p>{sentences(rng, 2)}</p>"
+        made.append(f"<nav><a href=#>Home</a></nav><div class=main>{inner}</div><aside><h4>More of it</h4><p>{rng.random()} teaser</p><h4>Read on {i}</h4></aside><footer><a href=#>Terms</a></footer>")
+    found = defaultdict(list)
+    for r in pages.main_pieces(spark.createDataFrame([(i, "https://s.example/x", h) for i, h in enumerate(made)], "rec_id bigint, url string, html string")).collect():
+        found[r.rec_id].append(r.piece_no)
+    assert all(sorted(found[i]) == [1, 2, 3, 4, 5, 6] for i in range(60))
+
+
+def test_every_page_with_landmarks_of_its_own(spark):
+    rng = random.Random(18)
+    name = lambda: "".join(rng.choices("ghijklmnop", k=8))
+    made = [f"<nav id=post-{i + 1000}><a href=#>Home</a></nav><h1>Head {i}</h1><p>{sentences(rng, 3)}</p><div class={name()}><a href=#>{name()}</a></div><p>{sentences(rng, 2)}</p><div class={name()}><a href=#>Link</a></div><footer><h4>End</h4>{name()} {name()}</footer>" for i in range(400)]
+    found = defaultdict(list)
+    for r in pages.main_pieces(spark.createDataFrame([(i, "https://s.example/x", h) for i, h in enumerate(made)], "rec_id bigint, url string, html string")).collect():
+        found[r.rec_id].append(r.piece_no)
+    assert sum(set(found[i]) >= {1, 2, 4} for i in range(400)) >= 398
+
+
+def test_many_different_streams_of_one_site():
+    import time
+
+    rng = random.Random(19)
+    marks = [f"div.{c}{i}~" for c in "ab" for i in range(20)]
+    streams = {tuple(m for m in marks if rng.random() < 0.6) for _ in range(100_000)}
+    assert len(streams) > 99_000
+    rows = pa.RecordBatch.from_arrays([pa.array(["s"] * len(streams)), pa.array([list(x) for x in streams]), pa.array([1] * len(streams), pa.int64())], names=["site", "wrapper", "a"])
+    began = time.process_time()
+    (made,) = pages._range_wrappers(iter([rows]))
+    wrapper = made.column(2)[0].as_py()
+    assert set(wrapper) == set(marks) and len(wrapper) < 2 * len(marks) and time.process_time() - began < 90
+    assert all(len(pages.align(wrapper, x)) == len(x) for x in list(streams)[:500])
+
+
+def test_alignment_is_a_longest_common_subsequence():
+    rng = random.Random(20)
+    for _ in range(200):
+        x, y = (rng.choices("abcd", k=rng.randrange(12)) for _ in range(2))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if a == b else max(best[i][j + 1], best[i + 1][j])
+        pairs = pages.align(x, y)
+        assert len(pairs) == best[-1][-1] and all(x[i] == y[j] for i, j in pairs) and pairs == sorted(set(pairs))
+
+
+def test_candidates_of_unplaced_landmarks():
+    assert pages.candidates(["a", "b", "c"], ["a", "x", "c"], [True, False, True]) == [(0, 0), (1, 2), (1, 2), (3, 3)]
+    assert pages.candidates([], ["x"], [False]) == [(0, 0), (0, 0)]
 
 
 def test_near_duplicates(spark, rows):
@@ -338,6 +448,12 @@ def test_near_duplicates(spark, rows):
     assert neardup.duplicate_pairs(df.limit(0)).count() == 0
 
 
+def sketch(sets):
+    """Sketches of sets of runs."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    return neardup.sketches(owner, np.concatenate(sets).astype(np.uint32), len(sets))
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     for size in (40, 300, 3000):
@@ -345,10 +461,51 @@ def test_sketches_estimate_similarity():
         for _ in range(20):
             both = rng.integers(0, 1 << 32, size, np.uint32)
             a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 32, size // 2, np.uint32)])) for _ in range(2))
-            table = neardup.sketches([a, b])
+            table = sketch([a, b])
             errors.append((table[0] == table[1]).mean() - len(np.intersect1d(a, b)) / len(np.union1d(a, b)))
         assert abs(np.mean(errors)) < 0.04
-    assert (neardup.sketches([np.array([5], np.uint32)]) == neardup.sketches([np.array([5], np.uint32)])).all()
+    assert (sketch([np.array([5])]) == sketch([np.array([5])])).all()
+
+
+def test_run_hashes_of_lists():
+    found = [["a", "b", "c", "d"], [], ["a", "b"], ["b", "c", "d"], ["a", "b", "c"] * 2]
+    owner, runs = neardup.run_hashes(found)
+    sets = [set(runs[owner == i].tolist()) for i in range(len(found))]
+    assert [len(x) for x in sets] == [2, 0, 0, 1, 3] and sets[3] < sets[0] and len(sets[4] & sets[0]) == 1
+    assert [len(x) for x in neardup.run_hashes([])] == [0, 0]
+
+
+def table_of_sets(spark, sets):
+    bands = neardup.band_keys(sketch(sets))
+    rows = [(i, i, x.view(np.int32).tolist(), bands[i].tolist()) for i, x in enumerate(sets)]
+    return spark.createDataFrame(rows, neardup.SETS)
+
+
+def test_a_chain_of_ten_thousand_classes(spark):
+    runs = np.random.default_rng(2).permutation(np.unique(np.random.default_rng(3).integers(0, 1 << 32, 90_000, np.uint32)))
+    sets = [np.sort(runs[8 * i : 8 * i + 40]) for i in range(10_000)]
+    got = {tuple(r) for r in neardup.similar_classes(table_of_sets(spark, sets)).collect()}
+    assert got == {(i, i + 1) for i in range(9_999)}
+
+
+def test_a_bucket_over_many_partitions(spark, rows):
+    # Copies with one run less each: all similar, so most buckets hold nearly all classes and go over many partitions.
+    runs = np.unique(np.random.default_rng(4).integers(0, 1 << 32, 300, np.uint32))
+    sets = [np.delete(runs, i) for i in range(120)] + [np.unique(np.random.default_rng(5).integers(0, 1 << 32, 50, np.uint32))]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    edges = neardup.candidates(table_of_sets(spark, sets))
+    assert edges.count() < 121 * 64 and edges.where("hub = cls").count() == 0
+    got = rows(neardup.similar_classes(table_of_sets(spark, sets)))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == sorted(((i, j) for i in range(120) for j in range(i + 1, 120)), key=repr)
+
+
+def test_groups(spark):
+    words = [f"w{j}" for j in range(60)]
+    texts = [words[:40], words[4:44], words[8:48], ["x", "y", "z"]]
+    data = [(i, "https://h.example/1", f"<p>{' '.join(t)}.</p>") for i, t in enumerate(texts)]
+    got = {r.rec_id: r.group_id for r in neardup.groups(spark.createDataFrame(data, "rec_id bigint, url string, html string")).collect()}
+    assert got[0] == got[1] == got[2] != got[3]
 
 
 def test_components(spark):
