@@ -19,6 +19,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import pairwise
 
 import pandas as pd
@@ -26,8 +27,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
-from kvflow.session import bounded, materialise, parallel
+from kvflow.session import bounded, discard, materialise, parallel
 
 # How pieces are cut, as the result's definition has it; the elements of HTML by their role.
 CUT = re.compile(r"(<[^>]*>)")
@@ -608,12 +610,8 @@ def body_cells(cells: DataFrame) -> DataFrame:
     return home.where("body").select("cell").union(out.where(F.coalesce("same", "between", "kind", "body")).select("cell"))
 
 
-Model = tuple[DataFrame, DataFrame]
-
-
-def model(seen: DataFrame) -> Model:
-    """((cell), (fixed)) of parsed pages, as tables: the cells of the bodies, and the template texts as text XOR home."""
-    each = seen.select("site", "home", "stream", F.inline("blocks"))
+def templates(each: DataFrame) -> DataFrame:
+    """(site, key, n, fixed) of blocks: the template texts as text XOR home, with the n different contents that they stand beside."""
     texts = each.where("NOT repeats").select("site", "home", "mark", "long", "key", "text", "content").distinct()
     # Different contents of each text of a site, and sites of each text.
     per_text = texts.groupBy("site", "home", "key", "text").agg(F.count("*").alias("n"))
@@ -622,13 +620,33 @@ def model(seen: DataFrame) -> Model:
     per_text = materialise(per_text.join(contents, "site"), "texts")
     sites = per_text.groupBy("text").agg(F.count_distinct("site").alias("sites"), F.sum("n").alias("everywhere")).where((F.col("sites") >= TEMPLATE_SITES) & (F.col("everywhere") >= TEMPLATE_PAGES * F.col("sites")))
     often = (F.col("n") >= TEMPLATE_PAGES) & (F.col("n") >= TEMPLATE_SHARE * F.col("contents"))
-    judged = materialise(per_text.join(sites.select("text", F.lit(True).alias("known")), "text", "left").where(often | F.col("known")).select("site", "key", "n", F.col("text").bitwiseXOR(F.col("home")).alias("fixed")), "templates")
+    known = per_text.join(sites.select("text", F.lit(True).alias("known")), "text", "left").where(often | F.col("known"))
+    made = materialise(known.select("site", "key", "n", F.col("text").bitwiseXOR(F.col("home")).alias("fixed")), "templates")
+    discard(per_text)
+    return made
 
+
+def placed_cells(seen: DataFrame, each: DataFrame) -> DataFrame:
+    """(site, stream, slot, key, cell, a, b, marks, foreign, lo, hi): kinds of block in the slots of the streams, with their number,
+    their words of running text, and the slots of the wrapper that they may be in."""
     counted = each.where("NOT mark").groupBy("site", "stream", "slot", "key", "cell").agg(F.count("*").alias("a"), F.sum("words").cast("bigint").alias("b"))
     streams = seen.groupBy("site", "stream", "marks").agg(F.sum("n_blocks").alias("a"), F.count("*").alias("n")).where("a > 0")
-    placed = placed_streams(streams)
     at = lambda name: F.get(F.col(name), F.col("slot"))
-    cells = materialise(counted.join(placed, ["site", "stream"]).withColumns({"lo": at("los"), "hi": at("his")}).drop("los", "his"), "cells")
+    return materialise(counted.join(placed_streams(streams), ["site", "stream"]).withColumns({"lo": at("los"), "hi": at("his")}).drop("los", "his"), "cells")
+
+
+Model = tuple[DataFrame, DataFrame]
+
+
+def model(seen: DataFrame) -> Model:
+    """((cell), (fixed)) of parsed pages, as tables: the cells of the bodies, and the template texts as text XOR home."""
+    each = seen.select("site", "home", "stream", F.inline("blocks"))
+    # Neither needs the other, so their stages may share the cluster.
+    inheriting = inheritable_thread_target(seen.sparkSession)
+    with ThreadPoolExecutor(2) as pool:
+        texts = pool.submit(inheriting(templates), each)
+        made = pool.submit(inheriting(placed_cells), seen, each)
+        judged, cells = texts.result(), made.result()
     fixed_n = judged.groupBy("site", "key").agg(F.sum("n").alias("fixed_n"))
     sums = cells.groupBy("site", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).join(fixed_n, ["site", "key"])
     some = (F.col("fixed_n") >= TEMPLATE_BLOCKS * F.col("a")) & (F.col("b") < TEMPLATE_WORDS * F.col("a"))
@@ -636,7 +654,9 @@ def model(seen: DataFrame) -> Model:
     # What a site's verdict is made of is bounded by its wrapper and kinds of block, however many pages and streams it has.
     masses = cells.groupBy("site", "lo", "hi", "key").agg(F.sum("b").alias("b")).join(keys, ["site", "key"], "left").na.fill({"fixed": False})
     verdicts = masses.groupBy("site").applyInPandas(_judge, "site string, lo int, hi int, key string, body boolean")
-    found = materialise(body_cells(materialise(cells.join(verdicts, ["site", "lo", "hi", "key"]), "verdicts")), "bodies")
+    verdicts = materialise(cells.join(verdicts, ["site", "lo", "hi", "key"]), "verdicts")
+    found = materialise(body_cells(verdicts), "bodies")
+    discard(cells, verdicts)
     return found, judged.select("fixed").distinct()
 
 
