@@ -277,7 +277,18 @@ def emit_crawl_json(spark: SparkSession, d: str) -> DataFrame:
     return merged.select("domain", web.emit_crawl_json(F.col("count"), F.col("merged_text"), F.col("unique_count")).alias("value"))
 
 
-@query(f"SELECT rec_id, {_DOMAIN} AS domain FROM crawl_records")
+#: The same by cutting the text at its signs, without a pattern.
+_DOMAIN_BY_PARTS = """(SELECT CASE WHEN url IS NULL OR place = 0 OR len(translate(url, controls, '')) < len(url) OR translate(host, signs, '') <> host
+              OR scheme <> '' AND (right(scheme, 1) <> ':' OR translate(lower(scheme[1]), letters, '') <> '' OR translate(lower(scheme[:-2]), letters || '0123456789+.-', '') <> '')
+              OR len(list_filter(string_split(host, '%')[2:], lambda x: len(x) < 2 OR translate(lower(x[1:2]), '0123456789abcdef', '') <> '')) > 0
+              OR contains(tail, ':') AND translate(string_split(tail, ':')[-1], '0123456789', '') <> '' THEN '' ELSE host END
+       FROM (SELECT *, string_split(host, ']')[-1] AS tail
+             FROM (SELECT *, string_split(split_part(split_part(split_part(url[place + 2:], '/', 1), '?', 1), '#', 1), '@')[-1] AS host
+                   FROM (SELECT strpos(url, '//') AS place, url[:strpos(url, '//') - 1] AS scheme, 'abcdefghijklmnopqrstuvwxyz' AS letters,
+                                list_reduce(list_transform(range(1, 32), lambda i: chr(i::INT)), lambda a, b: a || b) || chr(127) AS controls, ' ^`{}|' || chr(92) AS signs))))"""
+
+
+@query(f"SELECT rec_id, {_DOMAIN_BY_PARTS} AS domain FROM crawl_records")
 def extract_domain(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "crawl_records").select("rec_id", web.extract_domain(F.col("url")).alias("domain"))
 
