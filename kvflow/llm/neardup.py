@@ -127,7 +127,7 @@ def _sets(ids: pa.Array, texts: list[str], seen: set[int]) -> pa.RecordBatch:
     """Rows (id, cls, runs, bands) of the texts that have a run; runs and bands only of classes that this task has not seen."""
     owner, runs = run_hashes([words(t) for t in texts])
     has, start = np.unique(owner, return_index=True)
-    ends = np.append(start[1:], len(runs))
+    ends = np.append(start, len(runs))[1:]
     classes = [xxhash.xxh3_64_intdigest(runs[a:b].tobytes()) - (1 << 63) for a, b in zip(start, ends, strict=True)]
     fresh = np.zeros(len(classes), bool)
     for i, cls in enumerate(classes):

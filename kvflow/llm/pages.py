@@ -91,7 +91,7 @@ FOREIGN_MARKS = 0.5
 WRAPPER_SHARE = 0.001
 WRAPPER_PAGES = 2
 #: Body cells and template texts, 8 bytes each, up to which they are broadcast; more are joined by shuffle.
-BROADCAST_KEYS = 4_000_000
+BROADCAST_KEYS = 1_000_000
 _tags: dict[str, tuple[str, str, str]] = {}
 _marks: dict[tuple[str, str, str], str] = {}
 

@@ -500,6 +500,16 @@ def test_a_bucket_over_many_partitions(spark, rows):
     assert got == sorted(((i, j) for i in range(120) for j in range(i + 1, 120)), key=repr)
 
 
+def test_pages_without_main_text(spark):
+    data = [(i, "https://h.example/1", html) for i, html in enumerate(["<nav><a href=#>Home</a></nav>", "<p></p>", "<!-- a -->", "<script>x</script>", "<br>"])]
+    df = spark.createDataFrame(data, "rec_id bigint, url string, html string")
+    assert neardup.duplicate_pairs(df).count() == 0 and neardup.class_links(df).count() == 0 and neardup.groups(df).count() == 0
+    none = neardup._sets(pa.array([1, 2]), ["", "two words"], set())
+    assert none.num_rows == 0 and neardup._sets(pa.array([], pa.int64()), [], set()).num_rows == 0
+    one = neardup._sets(pa.array([1, 2, 3]), ["", "three words here", "three words here"], set()).to_pylist()
+    assert [r["id"] for r in one] == [2, 3] and one[0]["cls"] == one[1]["cls"] and len(one[0]["runs"]) == 1 and one[1]["runs"] == []
+
+
 def test_groups(spark):
     words = [f"w{j}" for j in range(60)]
     texts = [words[:40], words[4:44], words[8:48], ["x", "y", "z"]]
