@@ -21,7 +21,8 @@ _left: dict[str, SparkSession] = {}
 
 
 #: How Spark treats failing and slow tasks: three retries of a task, a backup copy of one that takes 1.5 times the median once
-#: three quarters are done, executors left out after repeated failures, and executors given up when they fall silent.
+#: three quarters are done, executors left out after repeated failures. Executors are given up after Spark's own time without a
+#: heartbeat: a shorter one would lose those that only collect garbage.
 FAULT_SETTINGS = {
     "spark.task.maxFailures": "4",
     "spark.speculation": "true",
@@ -31,7 +32,6 @@ FAULT_SETTINGS = {
     "spark.excludeOnFailure.task.maxTaskAttemptsPerExecutor": "3",
     "spark.excludeOnFailure.stage.maxFailedTasksPerExecutor": "3",
     "spark.executor.heartbeatInterval": "5s",
-    "spark.network.timeout": "30s",
     "spark.shuffle.compress": "true",
     "spark.io.compression.codec": "zstd",
 }

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 import threading
 import urllib.error
 import urllib.request
@@ -214,6 +215,17 @@ def test_command_line(spark, tmp_path, words, capsys, monkeypatch):
     assert main(["sizes", "--input", words, "--work-dir", "mr-bench-x"]) == 0 and "binary" in capsys.readouterr().out and not (tmp_path / "mr-bench-x").exists()
 
 
+def test_command_line_with_a_session_of_its_own(tmp_path, words):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(jobs.__file__).resolve().parents[2])
+    command = [sys.executable, "-m", "kvflow", "local", "--input", words, "--work-dir", str(tmp_path / "w")]
+    done = subprocess.run(command, capture_output=True, text=True, timeout=300, cwd=tmp_path, env=os.environ | {"PYTHONPATH": root})
+    assert done.returncode == 0 and "9 keys" in done.stdout, done.stderr[-2000:]
+
+
 def test_bench_folders(spark, tmp_path, words, monkeypatch):
     for folder in ("/tmp/mr-bench-x", "data", "../mr-bench-x", ""):
         with pytest.raises(ValueError):
