@@ -5,31 +5,36 @@ Three kinds of evidence:
 * whole texts, a self-join by prefix: in sorted order a text that is a strict prefix of any other is one of its successor;
 * field limits: a length, in characters or bytes, at which a source has far more documents than at the lengths around it; a limit
   in bytes may fall inside a character and leaves one to three bytes less then;
-* ends: a classifier of how texts end, which has learned from the corpus itself. It sees the last words, how the sentence and
-  the line began, and whether the last word is unknown but the beginning of a known one (a prefix self-join of words).
+* ends: a classifier of how texts end, which has learned from all texts of the corpus. It sees the last words, how the sentence
+  and the line began, and whether the last word is unknown but the beginning of a known one (a prefix self-join of words).
 
 One pass over the documents notes what the latter two need: lengths, marks of a cut, the last line of texts that may go on, and
-how many documents have each word and each closing. The whole texts are read again only for the sample and the self-join.
+how many documents have each word and each closing. A second one, which knows the words, makes the examples that the classifier
+learns from and counts how lines begin. The whole texts are read again only for the self-join.
 """
 
 from __future__ import annotations
 
+import random
 import re
 import unicodedata
 import zlib
-from bisect import bisect_right
+from array import array
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kvflow.session import bounded, materialise, parallel
+from kvflow.session import bounded, discard, materialise, parallel
 
 # What fields and feeds put behind a cut text; ends of sentences; tokens; markup.
 CUT_MARKS = r"(?:\[\.\.\.\]|\[…\]|\((?:read )?more\)|\.\.\.|…|&hellip;)"
@@ -44,20 +49,28 @@ MARKUP = r"</?[a-zA-Z][^<>\n]*>|\[/?[a-zA-Z*][^\[\]\n]*\]|&(?:[a-z]+|#\d+);"
 KNOWN_SHARE = 0.0005
 KNOWN_LEAST = 4
 KNOWN_WORDS = 200_000
-#: The classifier learns from at most so many documents of at most so many characters, those with the least hash of doc_id, and
-#: from so many cuts in each.
-SAMPLE_DOCS = 6_000
-SAMPLE_CHARS = 20_000
+#: The classifier learns from all ends within each text, and from as many places to cut it, but at least so many.
 CUTS_A_DOC = 6
-SAMPLE_SEED = 11
-#: Two last words close a text if at least so many texts, and this share of all, end with them.
+#: Two last words close a text if at least so many texts, and this share of all, end with them; so for beginnings of last lines.
 CLOSING_TEXTS = 3
 CLOSING_SHARE = 0.0005
 #: A word behind a sentence that this share of all texts end with, and that begins a sentence in fewer, is a closing in itself.
 CLOSER_SHARE = 0.0001
 CLOSING_TOKENS = 12
 FEATURES = 1 << 18
-EPOCHS = 4
+#: An example has so many features; what it lacks is filled with a last feature that stays zero.
+WIDTH = 24
+#: The weights are those of least loss, summed over all examples, plus half this penalty times their squares; they are found
+#: when the slope has fallen to this share of that at the start, or after so many passes over the examples.
+PENALTY = 1.0
+SLOPE_LEFT = 0.01
+PASSES = 100
+#: Steps remembered for the curvature.
+MEMORY = 8
+#: Slopes and losses are summed as whole multiples of 1 / FIXED, so that the order of the documents does not matter.
+FIXED = 1 << 26
+#: Sums are added up by blocks of so many.
+SUMS_A_BLOCK = 1 << 14
 #: Ends that are more likely cut than this are.
 CUT_ABOVE = 0.45
 #: A shorter text may be the beginning of another by chance.
@@ -69,8 +82,23 @@ LIMIT_AROUND = 25
 #: A limit of bytes inside a character leaves up to so many bytes less.
 LIMIT_MISSING = 3
 BOUNDARY, UNKNOWN_NAME, UNKNOWN_WORD, NUMBER, LINK = "\n", "\x01N", "\x01w", "\x01#", "\x01u"
-
-STARTS_BEHIND = frozenset((*".!?。！？", BOUNDARY))
+NUMBERS = {x: zlib.crc32(x.encode()) for x in (BOUNDARY, UNKNOWN_NAME, UNKNOWN_WORD, NUMBER, LINK)}
+UNKNOWN = (NUMBERS[UNKNOWN_NAME], NUMBERS[UNKNOWN_WORD])
+#: What the classifier sees of an end, by column: the last five classes, the last one last (0 to 4), three that begin the
+#: sentence (5 to 7), four that begin the line (8 to 11), the line's first word (12), tokens of the sentence (13) and of the
+#: line (14), what is known of the last word (15), whether the line opens the text (16), the last three and two letters (17, 18).
+SEEN, LINE_SIZE, STATE = 19, 14, 15
+#: The columns that each feature joins; -1 is the size of the line up to nine.
+TEMPLATES = (
+    (4,), (3,), (2,), (1,), (0,), (3, 4), (2, 3), (1, 2), (2, 4), (2, 3, 4), (1, 2, 3), (0, 1, 2), (15,), (15, 3), (15, 2, 3), (5, 6, 13), (5, 6, 7, 3),
+    (13,), (12,), (8, 9, 10, 11, 14), (12, -1), (16,), (17,), (18, 3),
+)
+MIXER = np.uint64(0x9E3779B97F4A7C15)
+#: Examples are made for so many texts at once.
+TEXTS_AT_ONCE = 1_000
+
+ENDS = frozenset(".!?。！？")
+STARTS_BEHIND = ENDS | {BOUNDARY}
 LINKS = ("http://", "https://", "www.")
 
 _token = regex.compile(TOKEN)
@@ -86,11 +114,15 @@ _signature = regex.compile(r"\n(?:--|__+) ?\n?[^\n]*(?:\n[^\n]*)?$")
 CLOSING = "\"'”’»)]*_"
 
 
+def plain_of(text: str) -> str:
+    """The text without markup, with one kind of line end."""
+    plain = text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
+    return _markup.sub("", plain) if "<" in plain or "[" in plain or "&" in plain else plain
+
+
 def tokens(text: str) -> list[str]:
     """Words, Han characters, numbers, links, line ends and signs of a text without markup."""
-    plain = text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
-    if "<" in plain or "[" in plain or "&" in plain:
-        plain = _markup.sub("", plain)
+    plain = plain_of(text)
     found = (_token_ascii if plain.isascii() else _token).findall(plain)
     return [BOUNDARY if t[0] == "\n" else t for t in found] if "\n" in plain else found
 
@@ -122,130 +154,274 @@ class Ends:
 
     def __init__(self, known: list[str], weights: np.ndarray | None = None):
         self.known, self.sorted = frozenset(known), sorted(known)
-        self.weights = np.zeros(FEATURES, np.float32) if weights is None else weights
+        self.numbers = {word: _number(word) for word in known}
+        self.weights = np.zeros(FEATURES + 1, np.float32) if weights is None else weights
 
     def begins_known(self, word: str) -> bool:
         """Whether the word is a strict prefix of a known one: in sorted order, of its successor."""
         at = bisect_right(self.sorted, word)
         return word not in self.known and at < len(self.sorted) and self.sorted[at].startswith(word)
 
-    def features(self, raw: list[str]) -> list[int]:
-        """Feature numbers of tokens that end a text. Only the last line counts."""
-        line = len(raw)
-        while line and raw[line - 1] != BOUNDARY:
-            line -= 1
-        start = len(raw)
-        while start > line and not _sentence_end.match(raw[start - 1]):
-            start -= 1
-        near = classes(raw[max(line, len(raw) - 5) :], self.known)
-        near = [BOUNDARY] * (5 - len(near)) + near
-        w5, w4, w3, w2, w1 = near
-        head = classes(raw[start : start + 3], self.known)
-        first = raw[line].lower() if line < len(raw) else ""
-        n = min(len(raw) - start, 30)
-        last = raw[-1]
-        unknown = w1 in (UNKNOWN_NAME, UNKNOWN_WORD)
-        state = ("u" if unknown else "k") + ("b" if self.begins_known(last.lower()) else "") + str(min(len(last), 9))
-        names = [
-            f"1{w1}", f"2{w2}", f"3{w3}", f"4{w4}", f"5{w5}", f"12{w2} {w1}", f"23{w3} {w2}", f"34{w4} {w3}", f"13{w3} {w1}", f"123{w3} {w2} {w1}",
-            f"234{w4} {w3} {w2}", f"345{w5} {w4} {w3}", f"s{state}", f"s2{state} {w2}", f"s3{state} {w3} {w2}", f"h{' '.join(head[:2])} {n}", f"h3{' '.join(head)} {w2}",
-            f"n{n}", f"l{first}", f"l4{self._head(raw[line:])} {min(len(raw) - line, 12)}", f"l1{first} {min(len(raw) - line, 9)}", f"b{line == 0}",
-        ]
-        if unknown:
-            names += [f"e{last[-3:].lower()}", f"e2{last[-2:].lower()} {w2}"]
-        return [zlib.crc32(x.encode("utf-8", "replace")) % FEATURES for x in names]
-
-    def likelihood(self, raw: list[str]) -> float:
-        """Of the text being cut after these tokens."""
-        return float(1 / (1 + np.exp(-self.weights[self.features(raw)].sum())))
-
-    def _lines(self, raw: list[str]) -> list[list[str]]:
-        lines: list[list[str]] = [[]]
-        for token in raw:
-            if token == BOUNDARY:
-                lines.append([])
-            else:
-                lines[-1].append(token)
-        return lines
+    def numbered(self, found: list[str]) -> list[int]:
+        """The numbers of the tokens' classes."""
+        out = []
+        for t in found:
+            low = t.lower()
+            number = self.numbers.get(low)
+            if number is None:
+                if not t[0].isalnum():
+                    number = _number(low)
+                elif t[0].isdigit():
+                    number = NUMBERS[NUMBER]
+                elif "://" in t or t.startswith("www."):
+                    number = NUMBERS[LINK]
+                else:
+                    number = NUMBERS[UNKNOWN_NAME if t[0].isupper() else UNKNOWN_WORD]
+            out.append(number)
+        return out
+
+    def seen(self, numbers: list[int], size: int, start: int, tail: list[int], first: str, last: str, opens: bool) -> list[int]:
+        """What the classifier sees of a last line: its first `size` tokens, with the sentence from `start` on, and then those of the tail.
+
+        opens: no line is before it.
+        """
+        near = (numbers[max(size - 5, 0) : size] + tail)[-5:]
+        head = (numbers[start : min(start + 3, size)] + tail)[:3]
+        begin = (numbers[: min(4, size)] + tail)[:4]
+        if len(near) < 5:
+            near = [NUMBERS[BOUNDARY]] * (5 - len(near)) + near
+            begin += [0] * (4 - len(begin))
+        head += [0] * (3 - len(head))
+        low = last.lower()
+        unknown = near[-1] in UNKNOWN
+        state = 32 * unknown + 16 * self.begins_known(low) + min(len(last), 9)
+        ending = (_number(low[-3:]), _number(low[-2:])) if unknown else (0, 0)
+        return [*near, *head, *begin, _number(first.lower()), min(size + len(tail) - start, 30), min(size + len(tail), 12), state, opens, *ending]
+
+    def likelihoods(self, lines: list[list[str]], opens: list[bool]) -> np.ndarray:
+        """Of texts being cut after the tokens of these last lines."""
+        rows = [self.seen(self.numbered(line), len(line), _begun(line)[-1], [], line[0], line[-1], first) for line, first in zip(lines, opens, strict=True)]
+        return 1 / (1 + np.exp(-self.weights[features(np.array(rows, np.int64).reshape(-1, SEEN))].sum(axis=1)))
 
     def _head(self, line: list[str]) -> str:
         return " ".join(classes(line[:4], self.known))
 
-    def openings(self, texts: list[str]) -> frozenset[str]:
-        """Beginnings of last lines, shared by several texts, that hardly ever begin a sentence."""
-        short, long = Counter(), Counter()
-        for text in texts:
-            lines = self._lines(tokens(text))
-            for i, line in enumerate(lines):
-                if len(line) > CLOSING_TOKENS or line and _sentence_end.match(line[-1]):
-                    long[self._head(line)] += 1
-                elif i == len(lines) - 1 and len(line) >= 4:
-                    short[self._head(line)] += 1
-        return frozenset(BOUNDARY + head for head, n in short.items() if n >= CLOSING_TEXTS and n > 5 * long[head])
-
     def closes(self, line: list[str], openings: frozenset[str]) -> bool:
         """Whether a last line, as tokens, is a short one that begins as only last lines do, like a signature."""
         return 4 <= len(line) <= CLOSING_TOKENS and BOUNDARY + self._head(line) in openings
 
-    def examples(self, text: str, closings: frozenset[str]) -> Iterator[tuple[list[int], float]]:
-        """Features and labels from a text: the ends of its sentences and lines as whole, cuts at random places as cut.
+    def examples(self, text: str, closings: frozenset[str]) -> tuple[list[int], list[int], list[str], list[int], str, bool]:
+        """(ends, cuts, beginnings of lines, own end, beginning of the last line, whether it is a short one) of a text, ends and cuts as seen, one after the other.
 
-        A text's own end may be a cut, so it is learned from only where several texts end alike.
+        All ends of its sentences and lines are learned from as whole, random places, as many, as cut. A text's own end may
+        be a cut itself, so it counts only where several texts end alike: with one of the closings, or in a last line whose
+        beginning turns out to be an opening. The beginnings are those of long lines and of those that end a sentence.
         """
-        rng = np.random.default_rng((SAMPLE_SEED, zlib.crc32(text.encode("utf-8", "replace"))))
-        raw = tokens(text)
-        ends = [i for i in range(1, len(raw)) if raw[i - 1] != BOUNDARY and not _sentence_end.match(raw[i - 1]) and (raw[i] == BOUNDARY or _sentence_end.match(raw[i]))]
-        if raw and raw[-1] != BOUNDARY and not _sentence_end.match(raw[-1]) and not closings.isdisjoint({closing_of(raw), BOUNDARY + self._head(self._lines(raw)[-1])}):
-            ends.append(len(raw))
-        for i in rng.permutation(ends)[:CUTS_A_DOC].astype(int).tolist():
-            yield self.features(raw[:i]), 0.0
-        for at in rng.integers(1, len(text) + 1, CUTS_A_DOC).tolist():
-            head = text[:at].rstrip()
-            after = text[len(head) : len(head) + 1]
-            left = tokens(head)
-            if left and left[-1].startswith(LINKS):
-                continue  # a link cut short is a link
-            if left and left[-1] != BOUNDARY and not _sentence_end.match(left[-1]) and after.strip() and not _sentence_end.match(after) or left and after == " " and text[at:].strip():
-                yield self.features(left), 1.0
-
-    def fit(self, rows: list[list[int]], labels: list[float]) -> None:
-        if not rows:
-            return
-        rng = np.random.default_rng(SAMPLE_SEED)
-        width = max(map(len, rows))
-        # Shorter rows are filled with a last feature that stays zero.
-        matrix = np.array([row + [FEATURES] * (width - len(row)) for row in rows])
-        label = np.array(labels, np.float32)
-        weights, sums = np.zeros(FEATURES + 1, np.float32), np.full(FEATURES + 1, 1e-6, np.float32)
-        share = min(max(label.mean(), 0.01), 0.99)
-        importance = np.where(label == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
-        for _ in range(EPOCHS):
-            for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 256)):
-                at = matrix[part]
-                slope = (1 / (1 + np.exp(-weights[at].sum(axis=1))) - label[part]) * importance[part]
-                used, place = np.unique(at, return_inverse=True)
-                change = np.bincount(place.ravel(), np.repeat(slope, width), len(used)).astype(np.float32)
-                sums[used] += change**2
-                weights[used] -= 0.25 * change / np.sqrt(sums[used])
-                weights[FEATURES] = 0
-        self.weights = weights[:FEATURES]
-
-
-def learned(spark: SparkSession, ends: Ends, texts: list[str], closings: frozenset[str]) -> None:
-    """Fits the classifier to a bounded sample of texts, whose examples are made by all cores.
-
-    closings: the last two words or signs that so many texts of the corpus share, and the openings of closing lines.
+        lines = plain_of(text).split("\n")
+        known, lengths = [], []
+        ends: list[int] = []
+        own: list[int] = []
+        heads, n_ends = [], 0
+        for at, line in enumerate(lines):
+            lengths.append(len(line) + 1)
+            spans = [(m.group(), m.start()) for m in (_token_ascii if line.isascii() else _token).finditer(line)]
+            found = [t for t, _ in spans]
+            numbers, begun = self.numbered(found), _begun(found)
+            known.append((found, [x for _, x in spans], numbers, begun))
+            closed = bool(found) and found[-1][0] in ENDS
+            if len(found) > CLOSING_TOKENS or closed:
+                heads.append(self._head(found))
+            for i in range(1, len(found) + 1):
+                if found[i - 1][0] in ENDS or i < len(found) and found[i][0] not in ENDS:
+                    continue
+                row = self.seen(numbers, i, begun[i], [], found[0], found[i - 1], not at)
+                if i == len(found) and at == len(lines) - 1 and closing_of([*([BOUNDARY] if at else []), *found[-2:]][-2:]) not in closings:
+                    own = row
+                else:
+                    ends += row
+                    n_ends += 1
+        found = known[-1][0]
+        last_head, short = self._head(found), 4 <= len(found) <= CLOSING_TOKENS and found[-1][0] not in ENDS
+        begins = [0, *accumulate(lengths)]
+        rng = random.Random(zlib.crc32(text.encode("utf-8", "replace")))
+        cuts: list[int] = []
+        for _ in range(max(CUTS_A_DOC, n_ends)):
+            place = int(rng.random() * begins[-1]) + 1
+            at = bisect_left(begins, place) - 1
+            found, starts, numbers, begun = known[at]
+            place -= begins[at]
+            size = bisect_left(starts, place) - 1
+            if size < 0:
+                continue
+            token = found[size]
+            left = place - starts[size]
+            if left < len(token):
+                part = token[:left]
+                tail = [part] if part.isalnum() else tokens(part)
+                if not tail or tail[-1][0] in ENDS or tail[-1].startswith(LINKS):
+                    continue  # a link cut short is a link
+                cuts += self.seen(numbers, size, begun[size], self.numbered(tail), found[0] if size else tail[0], tail[-1], not at)
+            elif size + 1 < len(found) and not token.startswith(LINKS):
+                # Between words, or before a sign; what ends a sentence or line is no cut.
+                behind = lines[at][starts[size] + len(token)]
+                if behind == " " or not behind.isspace() and behind not in ENDS and token[0] not in ENDS:
+                    cuts += self.seen(numbers, size + 1, begun[size + 1], [], found[0], token, not at)
+        return ends, cuts, heads, own, last_head, short
+
+
+def _number(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "replace"))
+
+
+def _begun(line: list[str]) -> list[int]:
+    """For each number of tokens of a line, from none to all, where the sentence begins that they end in."""
+    out, start = [0], 0
+    for i, token in enumerate(line, 1):
+        if token[0] in ENDS:
+            start = i
+        out.append(start)
+    return out
+
+
+def features(seen: np.ndarray) -> np.ndarray:
+    """Feature numbers by row of what the classifier sees."""
+    value = seen.astype(np.uint64).T
+    out = np.empty((len(seen), WIDTH), np.int32)
+    for i, columns in enumerate(TEMPLATES):
+        mixed = np.full(len(seen), i + 1, np.uint64)
+        for column in columns:
+            mixed = (mixed ^ (np.minimum(value[LINE_SIZE], 9) if column < 0 else value[column])) * MIXER
+            mixed ^= mixed >> np.uint64(29)
+        out[:, i] = mixed & np.uint64(FEATURES - 1)
+    # Only unknown words have an ending.
+    out[seen[:, STATE] < 32, WIDTH - 2 :] = FEATURES
+    return out
+
+
+def _made(shipped: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The examples of each text, packed (kind 0), those that count only if a term is an opening (kind 1), and of each batch how many texts end in a short line that begins so (kind 2) and how many other lines do (kind 3)."""
+    ends, closings = shipped.value
+
+    def packed(seen: array, label: np.ndarray | int) -> np.ndarray:
+        found = features(np.frombuffer(seen, np.int64).reshape(-1, SEEN))
+        return np.column_stack([np.broadcast_to(label, len(found)), found]).astype(np.int32)
+
+    for batch in batches:
+        for part in (batch.slice(at, TEXTS_AT_ONCE) for at in range(0, batch.num_rows, TEXTS_AT_ONCE)):
+            short: Counter[str] = Counter()
+            long: Counter[str] = Counter()
+            seen, doubtful, sizes, terms = array("q"), array("q"), [], []
+            for text in part.column(0).to_pylist():
+                whole, cut, heads, own, head, short_line = ends.examples(text, closings)
+                long.update(heads)
+                seen.extend(whole)
+                seen.extend(cut)
+                sizes.append((len(whole) // SEEN, len(cut) // SEEN))
+                if own:
+                    doubtful.extend(own)
+                    terms.append(BOUNDARY + head)
+                if short_line:
+                    short[head] += 1
+            matrix = packed(seen, np.repeat(np.tile([0, 1], len(sizes)), np.array(sizes, np.int64).ravel()))
+            last = np.cumsum([a + b for a, b in sizes])[:-1]
+            rows = [(0, None, None, x.tobytes()) for x in np.split(matrix, last)]
+            rows += [(1, term, None, x.tobytes()) for term, x in zip(terms, packed(doubtful, 0), strict=True)]
+            for kind, counts in ((2, short), (3, long)):
+                rows += [(kind, BOUNDARY + head, n, None) for head, n in counts.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int8(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["kind", "term", "n", "packed"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, packed): the sums of all rows of a block."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            part = np.frombuffer(packed, np.int64)
+            sums[block] = sums[block] + part if block in sums else part
+    yield _blocks(sums)
+
+
+def _blocks(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "packed"])
+
+
+def _over_all(examples: DataFrame, weights: np.ndarray | None, importance: tuple[float, float]) -> np.ndarray:
+    """One pass over packed examples: the slope of each weight and, last, the loss; without weights how often each feature occurs and, last, how many are cut.
+
+    Each task adds up its own, tasks add up each other's by blocks of weights, so the driver gets each number once.
     """
-    shipped = spark.sparkContext.broadcast((ends, closings))
+    spark = examples.sparkSession
+    shipped = spark.sparkContext.broadcast((weights, importance))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shipped.value
+        weights, importance = shipped.value
+        total = np.zeros(FEATURES + 2, np.int64)
         for batch in batches:
-            found = [example for text in batch.column(0).to_pylist() for example in model.examples(text, known)]
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([y for _, y in found], pa.float64())], names=["features", "label"])
-
-    made = spark.createDataFrame([(t,) for t in texts], "text string").mapInArrow(run, "features array<int>, label double").toArrow()
-    ends.fit(made.column("features").to_pylist(), made.column("label").to_pylist())
+            matrix = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32).reshape(-1, WIDTH + 1)
+            for part in np.array_split(matrix, len(matrix) // 65_536 + 1):
+                label, at = part[:, 0], part[:, 1:]
+                if weights is None:
+                    slope, loss = np.ones(len(at)), label
+                else:
+                    score = weights[at].sum(axis=1)
+                    weight = np.where(label == 1, *importance)
+                    slope = np.rint((1 / (1 + np.exp(-score)) - label) * weight * FIXED)
+                    loss = np.rint(np.logaddexp(0, np.where(label == 1, -score, score)) * weight * FIXED)
+                total[: FEATURES + 1] += np.bincount(at.ravel(), np.repeat(slope, WIDTH), FEATURES + 1).astype(np.int64)
+                total[-1] += int(loss.sum())
+        yield _blocks({at: total[at : at + SUMS_A_BLOCK] for at in range(0, len(total), SUMS_A_BLOCK)})
+
+    sums = examples.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(run, "block int, packed binary").repartition("block").mapInArrow(_summed, "block int, packed binary")
+    found = np.concatenate([np.frombuffer(r.packed, np.int64) for r in sorted(sums.collect(), key=lambda r: r.block)])
+    shipped.destroy()
+    return found if weights is None else found / FIXED
+
+
+def learned(examples: DataFrame) -> np.ndarray:
+    """The classifier's weights: logistic regression on all examples, by L-BFGS over weights scaled to like curvature.
+
+    Both labels count alike as a whole.
+    """
+    seen = _over_all(examples, None, (1.0, 1.0))
+    n, cut = int(seen[:-1].sum()) // WIDTH, int(seen[-1])
+    if not n:
+        return np.zeros(FEATURES + 1, np.float32)
+    share = min(max(cut / n, 0.01), 0.99)
+    importance = (0.5 / share, 0.5 / (1 - share))
+    scale = 1 / np.sqrt(PENALTY + seen[:FEATURES] / 4)
+
+    def at(scaled: np.ndarray) -> tuple[float, np.ndarray]:
+        weights = scaled * scale
+        sums = _over_all(examples, np.append(weights, 0), importance)
+        return sums[-1] + PENALTY / 2 * float(weights @ weights), (sums[:FEATURES] + PENALTY * weights) * scale
+
+    here = np.zeros(FEATURES)
+    loss, slope = at(here)
+    enough = SLOPE_LEFT * np.linalg.norm(slope)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    passes = 1
+    while np.linalg.norm(slope) > enough and passes < PASSES:
+        way, shares = slope.copy(), []
+        for moved, turned in reversed(steps):
+            shares.append((moved @ way) / (moved @ turned))
+            way -= shares[-1] * turned
+        # An example's features move together: without known curvature a step of this size never goes too far.
+        way *= (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1]) if steps else 1 / WIDTH
+        for (moved, turned), part in zip(steps, reversed(shares), strict=True):
+            way += (part - (turned @ way) / (moved @ turned)) * moved
+        size = 1.0
+        while passes < PASSES:
+            there = here - size * way
+            new_loss, new_slope = at(there)
+            passes += 1
+            if new_loss <= loss - 1e-4 * size * (slope @ way):
+                moved, turned = there - here, new_slope - slope
+                if moved @ turned > 0:
+                    steps = [*steps[1 - MEMORY :], (moved, turned)]
+                here, loss, slope = there, new_loss, new_slope
+                break
+            size /= 2
+    return np.append(here * scale, 0).astype(np.float32)
 
 
 def closing_of(raw: list[str]) -> str:
@@ -443,10 +619,13 @@ def truncated(documents: DataFrame, prefix_chars: int = PREFIX_CHARS, least_limi
     closers = terms.where((F.col("kind") == 2) & F.left("term", F.lit(1)).isin(".", BOUNDARY) & (F.col("n") >= max(CLOSING_TEXTS, CLOSER_SHARE * n_docs))).join(begun, "term", "left")
     # At most 1 / CLOSER_SHARE of them. What begins a known word may be that word cut off.
     closers = frozenset(r.term for r in closers.where("n > coalesce(begun, 0)").select("term").collect() if not ends.begins_known(r.term[2:]))
-    sample = rows.where(F.char_length("text") <= SAMPLE_CHARS).select("text", F.xxhash64(F.lit(SAMPLE_SEED), "doc_id").alias("at")).orderBy("at", "text").limit(SAMPLE_DOCS)
-    texts = [r.text for r in sample.collect()]
-    openings = ends.openings(texts)
-    learned(rows.sparkSession, ends, texts, closings | openings)
+    known = rows.sparkSession.sparkContext.broadcast((ends, closings))
+    made = materialise(parallel(rows.select("text")).mapInArrow(lambda batches: _made(known, batches), "kind tinyint, term string, n bigint, packed binary"), "examples")
+    # Beginnings of last lines, shared by several texts, that hardly ever begin a sentence. At most 1 / CLOSING_SHARE of them.
+    begins = made.where("kind > 1").groupBy("term").agg(F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("short"), F.sum(F.when(F.col("kind") == 3, F.col("n"))).alias("long"))
+    openings = frozenset(r.term for r in begins.where((F.col("short") >= max(CLOSING_TEXTS, CLOSING_SHARE * n_docs)) & (F.col("short") > 5 * F.coalesce("long", F.lit(0)))).select("term").collect())
+    ends.weights = learned(made.where((F.col("kind") == 0) | (F.col("kind") == 1) & F.col("term").isin(list(openings))).select("packed"))
+    discard(made)
     shipped = rows.sparkSession.sparkContext.broadcast((ends, closers, openings))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,9 +634,10 @@ def truncated(documents: DataFrame, prefix_chars: int = PREFIX_CHARS, least_limi
             found = []
             for last, opens in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = last if opens else [BOUNDARY, *last]
-                whole = closing_of(raw) in closers or not opens and ends.closes(last, openings)
-                found.append(not whole and ends.likelihood(raw) > CUT_ABOVE)
-            kept = batch.column(0).filter(pa.array(found, pa.bool_()))
+                found.append(closing_of(raw) not in closers and (opens or not ends.closes(last, openings)))
+            doubtful = batch.filter(pa.array(found, pa.bool_()))
+            cut = ends.likelihoods(doubtful.column(1).to_pylist(), doubtful.column(2).to_pylist()) > CUT_ABOVE
+            kept = doubtful.column(0).filter(pa.array(cut, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept, pa.array(["goes on"] * len(kept), pa.string())], names=["doc_id", "evidence"])
 
     by_end = docs.where("last IS NOT NULL").select("doc_id", "last", "opens").mapInArrow(judged, "doc_id bigint, evidence string")

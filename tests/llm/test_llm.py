@@ -4,12 +4,14 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kvflow.llm import mixing, neardup, pages, percentiles, terms, tokens, truncation
 
@@ -293,6 +295,30 @@ def test_shorter_limits_and_prefixes_by_parameter(spark):
     assert "prefix" not in {r.evidence for r in truncation.truncated(df).collect()}
 
 
+def test_ends_are_learned_from_all_of_every_text(spark):
+    rng = random.Random(17)
+    line = lambda: sentences(rng, 3).replace(". ", " and ").rstrip(".")
+    texts = ["\n".join(line() for _ in range(200)) for _ in range(40)]
+    cut = [t[: t.rindex(" ", 0, len(t) - 20 - i) + 3] for i, t in enumerate(texts[:12])]
+    data = [(i, "s", t) for i, t in enumerate(cut + texts[12:])]
+    assert min(len(t) for _, _, t in data) > 20_000
+    df = spark.createDataFrame(data, "doc_id bigint, source string, text string")
+    found = {r.doc_id for r in truncation.truncated(df).collect()}
+    assert len(found) >= 10 and found <= set(range(12))
+
+
+def test_all_examples_count_in_any_order(spark):
+    rng = random.Random(18)
+    texts = [sentences(rng, 30) for _ in range(50)] + [sentences(rng, 30)[:-1] for _ in range(50)]
+    ends = truncation.Ends(sorted({t.lower() for x in texts for t in truncation.tokens(x)}))
+    assert [len(ends.examples(x, frozenset())[0]) // truncation.SEEN for x in texts] == [30] * 50 + [29] * 50
+    assert all(len(ends.examples(x, frozenset())[3]) == (0 if x[-1] == "." else truncation.SEEN) for x in texts)
+    packed = [list(m.to_pydict()["packed"]) for m in truncation._made(SimpleNamespace(value=(ends, frozenset())), iter(pa.RecordBatch.from_arrays([pa.array([x])], names=["text"]) for x in texts))]
+    df = spark.createDataFrame([(bytearray(m[0]),) for m in packed], "packed binary")
+    first, other = truncation.learned(df.repartition(1)), truncation.learned(df.orderBy(F.hash("packed")).repartition(5))
+    assert first.any() and (first == other).all()
+
+
 @settings(max_examples=200, deadline=None)
 @given(parts=st.lists(st.sampled_from([*"<>/ab p\n\t!-", "<p>", "</p>", "<div class='x'>", "</div>", "<li>", "<table><tr><td>", "<!--", "-->", "<script>", "</script>", "<a href=#>", "text. "]), max_size=60))
 def test_every_piece_is_in_one_block(parts):
