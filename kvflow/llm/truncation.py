@@ -94,8 +94,8 @@ TEMPLATES = (
     (13,), (12,), (8, 9, 10, 11, 14), (12, -1), (16,), (17,), (18, 3),
 )
 MIXER = np.uint64(0x9E3779B97F4A7C15)
-#: Examples are made for so many texts at once.
-TEXTS_AT_ONCE = 1_000
+#: Examples are made at once for texts of about so many characters.
+CHARS_AT_ONCE = 500_000
 
 ENDS = frozenset(".!?。！？")
 STARTS_BEHIND = ENDS | {BOUNDARY}
@@ -298,6 +298,19 @@ def features(seen: np.ndarray) -> np.ndarray:
     return out
 
 
+def _portions(texts: list[str]) -> Iterator[list[str]]:
+    """Texts one after the other, so many together that they reach CHARS_AT_ONCE."""
+    part, chars = [], 0
+    for text in texts:
+        part.append(text)
+        chars += len(text)
+        if chars >= CHARS_AT_ONCE:
+            yield part
+            part, chars = [], 0
+    if part:
+        yield part
+
+
 def _made(shipped: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The examples of each text, packed (kind 0), those that count only if a term is an opening (kind 1), and of each batch how many texts end in a short line that begins so (kind 2) and how many other lines do (kind 3)."""
     ends, closings = shipped.value
@@ -307,11 +320,11 @@ def _made(shipped: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         return np.column_stack([np.broadcast_to(label, len(found)), found]).astype(np.int32)
 
     for batch in batches:
-        for part in (batch.slice(at, TEXTS_AT_ONCE) for at in range(0, batch.num_rows, TEXTS_AT_ONCE)):
+        for texts in _portions(batch.column(0).to_pylist()):
             short: Counter[str] = Counter()
             long: Counter[str] = Counter()
             seen, doubtful, sizes, terms = array("q"), array("q"), [], []
-            for text in part.column(0).to_pylist():
+            for text in texts:
                 whole, cut, heads, own, head, short_line = ends.examples(text, closings)
                 long.update(heads)
                 seen.extend(whole)
